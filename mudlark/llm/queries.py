@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from mudlark.llm.media import op10_media
 from mudlark.llm.mixing import op2_mixing
+from mudlark.llm.quality import op6_quality
+from mudlark.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op6_quality": op6_quality,
+    "op9_toxicity": op9_toxicity,
+    "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {}
