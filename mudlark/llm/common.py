@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable by Python workers wherever they run; done once a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_mudlark_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = Path(tempfile.mkdtemp(prefix="mudlark-")) / "mudlark.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent).as_posix())
+    context.addPyFile(str(packed))
+    context._mudlark_shipped = True
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again, so lost executors can't undo it."""
     path = scratch(df.sparkSession, name)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from mudlark.llm.common import scratch
+from mudlark.llm.common import scratch, ship
 
 UNIT, RANGE_BYTES, ARCHIVE_BYTES, BATCH_BYTES, TRIES = 64, 8 << 20, 64 << 20, 4 << 20, 4
 MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -244,11 +244,13 @@ class MediaArchive(DataSource):
 
 def store(docs: DataFrame, path: str) -> None:
     """Writes each row's text, as UTF-8, under its doc_id."""
+    ship(docs.sparkSession)
     docs.sparkSession.dataSource.register(MediaArchive)
     docs.select(F.col("doc_id").cast("string").alias("key"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("raw")).write.format("mudlark_media").mode("append").save(path)
 
 
 def load(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(MediaArchive)
     return spark.read.format("mudlark_media").option("digest", str(digest).lower()).load(path)
 

@@ -6,12 +6,17 @@ from mudlark.llm.media import op10_media
 from mudlark.llm.mixing import op2_mixing
 from mudlark.llm.quality import op6_quality
 from mudlark.llm.toxicity import op9_toxicity
+from mudlark.llm.warc import ORACLE as WARC_SQL
+from mudlark.llm.warc import op7_warc
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": WARC_SQL,
+}

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mudlark.llm.common import ship
+
 THRESHOLD = 0.3
 BITS, HALF, WIDTHS, FILTERS, PIECE = 17, 8, (1, 2, 3), 8, 65_536
 EDGE = ".,;:!?\"'()[]{}«»¡¿…-–—*#"
@@ -233,6 +235,7 @@ def score(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame
     kept = docs.select(*columns, *([] if "text" in columns else ["text"]))
     if model is None:
         return kept.withColumn("score", F.lit(0.0)).select(*columns, "score")
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
