@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mudlark.llm.bagminhash import op8_bagminhash
 from mudlark.llm.media import op10_media
 from mudlark.llm.mixing import op2_mixing
 from mudlark.llm.quality import op6_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
+    "op8_bagminhash": op8_bagminhash,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
