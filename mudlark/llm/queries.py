@@ -7,12 +7,14 @@ from mudlark.llm.media import op10_media
 from mudlark.llm.mixing import op2_mixing
 from mudlark.llm.quality import op6_quality
 from mudlark.llm.sharding import op4_sharding
+from mudlark.llm.suffix_dedup import op3_suffix
 from mudlark.llm.toxicity import op9_toxicity
 from mudlark.llm.warc import ORACLE as WARC_SQL
 from mudlark.llm.warc import op7_warc
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_suffix": op3_suffix,
     "op4_sharding": op4_sharding,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
