@@ -6,6 +6,7 @@ from mudlark.llm.bagminhash import op8_bagminhash
 from mudlark.llm.media import op10_media
 from mudlark.llm.mixing import op2_mixing
 from mudlark.llm.quality import op6_quality
+from mudlark.llm.sentencepiece_lattice import op5_sentencepiece
 from mudlark.llm.sharding import op4_sharding
 from mudlark.llm.suffix_dedup import op3_suffix
 from mudlark.llm.toxicity import op9_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_suffix": op3_suffix,
     "op4_sharding": op4_sharding,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_bagminhash": op8_bagminhash,
