@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from mudlark.llm.bagminhash import op8_bagminhash
+from mudlark.llm.chat_format import ORACLE as CHAT_SQL
+from mudlark.llm.chat_format import op1_chat
 from mudlark.llm.media import op10_media
 from mudlark.llm.mixing import op2_mixing
 from mudlark.llm.quality import op6_quality
@@ -14,6 +16,7 @@ from mudlark.llm.warc import ORACLE as WARC_SQL
 from mudlark.llm.warc import op7_warc
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op2_mixing": op2_mixing,
     "op3_suffix": op3_suffix,
     "op4_sharding": op4_sharding,
@@ -26,5 +29,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat": CHAT_SQL,
     "op7_warc": WARC_SQL,
 }
