@@ -80,19 +80,22 @@ class Model:
     def pooled(self, texts: list[np.ndarray]) -> np.ndarray:
         """The largest value of each filter in each text."""
         out = np.full((len(texts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
-        pad = np.zeros(max(WIDTHS) - 1, np.int64)
+        # Three zeros end a text, so that the window on them holds no word of the next; it counts as the value 0.
+        more = max(WIDTHS) - 1
         todo: list[tuple[int, np.ndarray]] = []
         size = 0
 
         def flush() -> None:
-            starts = np.cumsum([0, *(len(p) for _, p in todo[:-1])])
-            values = np.concatenate(self.maps(self.rows(np.concatenate([*(p for _, p in todo), pad]))), axis=1)
-            np.maximum.at(out, [k for k, _ in todo], np.maximum.reduceat(values, starts, axis=0))
+            ends = np.cumsum([len(p) for _, p in todo])
+            values = np.concatenate(self.maps(self.rows(np.concatenate([*(p for _, p in todo), np.zeros(more, np.int64)]))), axis=1)
+            for k in range(1, more + 1):
+                values[ends - k] = -np.inf
+            np.maximum.at(out, [k for k, _ in todo], np.maximum.reduceat(values, np.concatenate([[0], ends[:-1]]), axis=0))
 
         for k, ids in enumerate(texts):
-            ids = np.concatenate([ids, pad])
-            for a in range(0, max(1, len(ids) - len(pad)), PIECE):
-                piece = ids[a : a + PIECE + len(pad)]
+            whole = np.concatenate([ids, np.zeros(more + 1, np.int64)])
+            for a in range(0, len(ids) + 1, PIECE):
+                piece = whole[a : min(a + PIECE, len(ids) + 1) + more]
                 todo.append((k, piece))
                 size += len(piece)
                 if size >= PIECE:
@@ -139,7 +142,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: i
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())).astype(np.float32) * len(labels)
     dense = [Adam(f.shape, 0.01) for f in model.filters] + [Adam(model.bias.shape, 0.01), Adam(model.top.shape, 0.02), Adam(1, 0.02)]
     seen = [np.full_like(model.first, 1e-4), np.full_like(model.second, 1e-4)]
-    pad = np.zeros(max(WIDTHS) - 1, np.int64)
+    pad, more = np.zeros(max(WIDTHS), np.int64), max(WIDTHS) - 1
     mask = (1 << BITS) - 1
     for _ in range(epochs):
         order = rng.permutation(len(texts))
@@ -147,10 +150,10 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: i
             own = order[a : a + batch]
             flat = [np.concatenate([texts[k], pad]) for k in own]
             starts = np.cumsum([0, *(len(x) for x in flat)])
-            ids = np.concatenate([*flat, pad])
+            ids = np.concatenate([*flat, pad[:more]])
             x = model.rows(ids)
             maps = model.maps(x)
-            best = np.stack([np.concatenate([s + m[s : max(s + 1, e - len(pad))].argmax(0) for m in maps]) for s, e in zip(starts[:-1], starts[1:], strict=True)])  # text, filter
+            best = np.stack([np.concatenate([s + m[s : e - more].argmax(0) for m in maps]) for s, e in zip(starts[:-1], starts[1:], strict=True)])  # text, filter
             value = np.concatenate([np.take_along_axis(m, best[:, i * FILTERS : (i + 1) * FILTERS], 0) for i, m in enumerate(maps)], axis=1) + model.bias
             hidden = np.maximum(value, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ model.top + model.constant, -40, 40)))
