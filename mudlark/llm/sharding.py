@@ -40,7 +40,7 @@ def by_shard(df: DataFrame, shard: str, value: Column, shards: int) -> list[int]
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(cells: DataFrame, quotas: list[int], rounds: int = 6) -> DataFrame:
+def propagate(cells: DataFrame, quotas: list[int], rounds: int = 16) -> DataFrame:
     """Rounds over (key, shard, n): where the members of each group are."""
     shards = len(quotas)
     for turn in range(rounds):
