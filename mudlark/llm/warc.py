@@ -70,7 +70,8 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     # Ids in the key keep the rows of a hot payload apart until only the first of each is left.
     picked = firsts.withColumnRenamed("first", "_order").withColumnRenamed("digest", "_digest")
     stored = held.withColumn("_order", order).join(picked.hint("shuffle_hash"), "_order").filter(F.col("digest") == F.col("_digest"))
-    stored.dropDuplicates(["digest"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    # One id has one digest at most left, so this needs no shuffle beyond the join's.
+    stored.dropDuplicates(["_order", "digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
