@@ -421,3 +421,11 @@ def as_of(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     over = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return e.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("prev"))
+
+
+@query("k1_tumbling_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def tumbling(spark, sf_dir):
+    from mudlark.streaming.events import tumbling as windows
+
+    out = windows(read(spark, sf_dir, "events"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
