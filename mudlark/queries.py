@@ -8,6 +8,7 @@ import gzip
 import io
 import json
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from pathlib import Path
@@ -54,7 +55,13 @@ def money(c: str) -> Column:
 # Sources: small tables of a fixed number of rows become files, which the readers read back.
 
 
-def folder() -> Path:
+def folder(spark: SparkSession) -> Path:
+    """A new folder that all executors see, below ``spark.checkpoint.dir``; of this machine where that is unset, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        out = Path(shared.removeprefix("file://").removeprefix("file:")) / f"files-{uuid.uuid4().hex}"
+        out.mkdir(parents=True)
+        return out
     return Path(tempfile.mkdtemp(prefix="mudlark-files-"))
 
 
@@ -75,14 +82,14 @@ HEADED = (Transform("promote_header", {"rows": 1, "join": " "}),)
 
 @query("a2_delimited", NATION_SQL)
 def delimited(spark, sf_dir):
-    path = folder() / "nation.csv"
+    path = folder(spark) / "nation.csv"
     path.write_text("\ufeff" + nation_csv(spark, sf_dir))
     return compiler.table(spark, str(path), ParseSpec(Extraction(delimiter=";"), HEADED, NATION))
 
 
 @query("a4_row_window", NATION_SQL + " WHERE n_nationkey >= 4 AND n_nationkey < 9")
 def window(spark, sf_dir):
-    path = folder() / "nation.csv"
+    path = folder(spark) / "nation.csv"
     path.write_text(nation_csv(spark, sf_dir))
     columns = tuple(replace(c, source=f"col_{i + 1}") for i, c in enumerate(NATION))
     return compiler.table(spark, str(path), ParseSpec(Extraction(delimiter=";", region=(5, 10)), (), columns))
@@ -90,21 +97,21 @@ def window(spark, sf_dir):
 
 @query("a11_ndjson", NATION_SQL)
 def ndjson(spark, sf_dir):
-    path = folder() / "nation.ndjson.bz2"
+    path = folder(spark) / "nation.ndjson.bz2"
     path.write_bytes(bz2.compress("".join(json.dumps(dict(zip(("Key", "Name", "Region"), r, strict=True))) + "\n" for r in nation_rows(spark, sf_dir)).encode()))
     return compiler.table(spark, str(path), ParseSpec(Extraction(format="json", lines=True), (), NATION))
 
 
 @query("a10_json_pointer", NATION_SQL)
 def json_array(spark, sf_dir):
-    path = folder() / "nation.json.gz"
+    path = folder(spark) / "nation.json.gz"
     path.write_bytes(gzip.compress(json.dumps({"meta": 1, "data": {"rows/all": [dict(zip(("Key", "Name", "Region"), r, strict=True)) for r in nation_rows(spark, sf_dir)]}}).encode()))
     return compiler.table(spark, str(path), ParseSpec(Extraction(format="json", pointer="/data/rows~1all"), (), NATION))
 
 
 @query("a23_messy_sql", "SELECT CAST(n_regionkey AS BIGINT) AS region, count(*) AS n, min(n_name) AS first FROM nation WHERE n_name <> 'x' GROUP BY 1")
 def messy_sql(spark, sf_dir):
-    path = folder() / "nation.csv"
+    path = folder(spark) / "nation.csv"
     path.write_text(nation_csv(spark, sf_dir), encoding="utf-16")
     return Session(spark, write=False).sql(f"SELECT region, count(*) AS n, min(name) AS first FROM messy('{path}') /* messy('no') */ WHERE name <> 'x' GROUP BY region")
 
@@ -122,7 +129,7 @@ PILE = """CREATE TABLE nations (
     "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(NULL AS VARCHAR) AS note, 'r' || n_regionkey || '.csv' AS _member, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS _row FROM nation",
 )
 def dataset(spark, sf_dir):
-    at = folder()
+    at = folder(spark)
     rows = nation_rows(spark, sf_dir)
     for region in sorted({r[2] for r in rows}):
         head = "Key;Land" if region % 2 else "Key;Name"
