@@ -17,7 +17,7 @@ The ``FREQUENT`` most frequent units go to the documents by broadcast: at most t
 are encoded by the same recurrence in Python.
 
 Edge cases: a null or empty text has no pieces and decodes to the empty text; rows with equal ids are kept
-apart by text; an empty table gives an empty result.
+apart by text, and rows that repeat in both give a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -204,14 +204,16 @@ def summary(docs: DataFrame, path: str = MODEL) -> DataFrame:
     often = cut(words.filter(F.length("unit") <= SHORT).orderBy(F.col("n").desc(), "unit").limit(FREQUENT).drop("n"), "piece-frequent")
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.posexplode_outer(units(F.col("text"), pieces.plain)).alias("pos", "unit"))
     rows = rows.withColumn("weight", F.pmod(F.xxhash64("pos"), F.lit(PLACES)) + 1)
-    sums = lambda df: df.groupBy("doc_id", "tie").agg(F.count("unit").alias("n_units"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum(F.col("weight") * F.col("code")), F.lit(0)).alias("checksum"), F.coalesce(F.bool_and("exact"), F.lit(True)).alias("exact"))
-    near = sums(rows.join(F.broadcast(often), "unit", "left").withColumn("unit", F.when(F.col("code").isNotNull(), F.col("unit"))))
-    out = near
+    # Rows that repeat in id and text are counted at their first place; each is given back with its own share of the sums.
+    first = F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0)
+    sums = lambda df, times: df.groupBy("doc_id", "tie").agg(times.alias("times"), F.count("unit").alias("n_units"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum(F.col("weight") * F.col("code")), F.lit(0)).alias("checksum"), F.coalesce(F.bool_and("exact"), F.lit(True)).alias("exact"))
+    out = sums(rows.join(F.broadcast(often), "unit", "left").withColumn("unit", F.when(F.col("code").isNotNull(), F.col("unit"))), first)
     rare = words.join(often.select("unit"), "unit", "left_anti").drop("n")
     if not rare.isEmpty():
         far = rows.filter("unit is not null").join(F.broadcast(often.select("unit")), "unit", "left_anti").join(rare, "unit")
-        out = near.unionByName(sums(far)).groupBy("doc_id", "tie").agg(F.sum("n_units").alias("n_units"), F.sum("n_pieces").alias("n_pieces"), F.sum("checksum").alias("checksum"), F.bool_and("exact").alias("exact"))
-    return out
+        out = out.unionByName(sums(far, F.lit(0).cast("long"))).groupBy("doc_id", "tie").agg(F.sum("times").alias("times"), F.sum("n_units").alias("n_units"), F.sum("n_pieces").alias("n_pieces"), F.sum("checksum").alias("checksum"), F.bool_and("exact").alias("exact"))
+    share = lambda c: F.expr(f"{c} div times").alias(c)
+    return out.select("doc_id", "tie", share("n_units"), share("n_pieces"), share("checksum"), "exact", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
