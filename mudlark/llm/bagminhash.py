@@ -9,10 +9,11 @@ weighted Jaccard similarity. A document's points are made up to a time by which
 likely full, and on to twice that for the documents where one is not, so the work is near the register count.
 
 ``BANDS`` bands of ``WIDTH`` registers name buckets. Equal texts count as one text. In a bucket every text meets the
-bucket's leader, the verified pairs (similarity of the multisets themselves, at least ``LIKE``) are closed to classes,
-and buckets that still hold several classes go through further rounds: small ones compare all texts of
-different classes, large ones compare every text with the leader of every other class in the bucket, and leaders
-differ from bucket to bucket. A pair of similarity 0.8 shares no bucket with probability 6e-5.
+bucket's leader, its best connected member, so that copies meet what they were copied from. Verified pairs (similarity of
+the multisets themselves, at least ``LIKE``) are closed to classes. Buckets that still hold several classes go through
+further rounds: small ones compare all texts of different classes, in large ones all meet the ``LEADERS`` best connected
+texts of other classes, so the pairs of a round grow with the members and never with their square. A pair of
+similarity 0.8 shares no bucket with probability 6e-5.
 
 Edge cases: a null text counts as an empty one; texts without words are alike only when equal; a null doc_id
 is kept; rows with equal ids but different texts are told apart by text; an empty table gives an empty result.
@@ -34,7 +35,9 @@ from mudlark.llm.common import cut, ship
 BANDS, WIDTH, SHINGLE, LIKE = 32, 6, 5, 0.8
 REGISTERS = BANDS * WIDTH
 #: Texts up to which all pairs of different classes in a bucket are compared.
-SMALL = 32
+SMALL = 8
+#: Leaders that the texts of a larger bucket are compared with in a round.
+LEADERS = 4
 #: Rows up to which ids of texts are broadcast: 24 MB.
 BROADCAST = 1_000_000
 GAPS = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
@@ -225,9 +228,14 @@ def classes(docs: DataFrame, like: float = LIKE, rounds: int = 4) -> DataFrame:
         "near-nodes",
     )
     banded = nodes.select("node", F.explode("keys").alias("bucket"))
-    lead = F.struct(F.xxhash64("node", "bucket").alias("lot"), F.col("node").alias("node"))
-    shared = banded.groupBy("bucket").agg(F.min(lead).alias("lead"), F.count("*").alias("texts")).filter("texts > 1").select("bucket", F.col("lead.node").alias("lead"))
-    members = cut(banded.join(shared, "bucket").select("bucket", "node", "lead"), "near-members")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("texts")).filter("texts > 1")
+    paired = cut(banded.join(shared, "bucket"), "near-paired")
+    # The text that others were copied from shares more buckets, and fuller ones, than its copies share with
+    # each other: the leaders of a bucket are its members with the most neighbours.
+    degrees = paired.groupBy("node").agg(F.sum("texts").alias("degree"))
+    members = paired.join(degrees, "node").withColumn("rank", F.struct("degree", F.xxhash64("node").alias("lot"), F.col("node").alias("node")))
+    members = cut(members, "near-members")
+    leads = members.groupBy("bucket").agg(F.max("rank").alias("lead")).select("bucket", F.col("lead.node").alias("lead"))
 
     wanted = members.select("node").distinct().join(nodes.select("node", "first", "digest"), "node")
     n = wanted.count()
@@ -238,18 +246,19 @@ def classes(docs: DataFrame, like: float = LIKE, rounds: int = 4) -> DataFrame:
         ids = wanted.select("node", F.col("first").alias("_first"), F.col("digest").alias("_digest"))
         held = own.join(F.broadcast(ids) if n <= BROADCAST else ids, own["doc_id"].eqNullSafe(ids["_first"]) & (own["digest"] == ids["_digest"]))
         texts = cut(held.select("node", "text").dropDuplicates(["node"]), "near-texts")
-        tried = cut(members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "near-pairs")
+        tried = cut(members.select("bucket", "node").join(leads, "bucket").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "near-pairs")
         links = cut(verify(tried, texts, like), "near-found")
         labels = components(links)
         for _ in range(rounds):
-            known = members.select("bucket", "node").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-            several = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("texts")).filter("low <> high").select("bucket", "texts")
-            rest = cut(known.join(several, "bucket"), "near-rest")
+            known = members.select("bucket", "node", "rank").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+            # The best connected texts of a bucket, one of each part that a hash deals its members into.
+            top = [F.max(F.when(F.pmod(F.col("rank.lot"), F.lit(LEADERS)) == j, F.struct("rank", "class"))) for j in range(LEADERS)]
+            several = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("texts"), F.array_compact(F.array(*top)).alias("tops")).filter("low <> high").drop("low", "high")
+            rest = cut(known.join(several, "bucket").drop("rank"), "near-rest")
             few, many = rest.filter(F.col("texts") <= SMALL), rest.filter(F.col("texts") > SMALL)
             each = few.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a")).join(few.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b")), "bucket").filter("class_a < class_b")
-            leads = many.groupBy("bucket", F.col("class").alias("class_b")).agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("lot"), F.col("node").alias("node"))).alias("lead")).select("bucket", "class_b", F.col("lead.node").alias("b"))
-            wide = many.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a")).join(leads, "bucket").filter("class_a <> class_b")
-            pairs = each.select("a", "b").union(wide.select("a", "b")).distinct()
+            wide = many.select(F.col("node").alias("a"), F.explode(F.filter("tops", lambda t: t["class"] != F.col("class"))).alias("t")).select("a", F.col("t.rank.node").alias("b"))
+            pairs = each.select("a", "b").union(wide).distinct()
             done = tried.union(tried.select("b", "a"))
             pairs = cut(pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
             if pairs.isEmpty():
