@@ -12,8 +12,10 @@ likely full, and on to twice that for the documents where one is not, so the wor
 bucket's leader, its best connected member, so that copies meet what they were copied from. Verified pairs (similarity of
 the multisets themselves, at least ``LIKE``) are closed to classes. Buckets that still hold several classes go through
 further rounds: small ones compare all texts of different classes, in large ones all meet the ``LEADERS`` best connected
-texts of other classes, so the pairs of a round grow with the members and never with their square. A pair of
-similarity 0.8 shares no bucket with probability 6e-5.
+texts of other classes. What large buckets still hold of different classes is then compared in full: their members are
+dealt into blocks of ``BLOCK`` texts, pairs of blocks are compared as matrices of shingle hashes, and only links come
+out, at most one less than there are texts. So every two texts that share a bucket end in one class or were
+compared. A pair of similarity 0.8 shares no bucket with probability 6e-5.
 
 Edge cases: a null text counts as an empty one; texts without words are alike only when equal; a null doc_id
 is kept; rows with equal ids but different texts are told apart by text; an empty table gives an empty result.
@@ -38,6 +40,8 @@ REGISTERS = BANDS * WIDTH
 SMALL = 8
 #: Leaders that the texts of a larger bucket are compared with in a round.
 LEADERS = 4
+#: Texts of a block of a large bucket, and columns of a matrix that are held at a time.
+BLOCK, COLUMNS = 256, 4096
 #: Rows up to which ids of texts are broadcast: 24 MB.
 BROADCAST = 1_000_000
 GAPS = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
@@ -217,6 +221,100 @@ def components(links: DataFrame, name: str = "near") -> DataFrame:
             return labels
 
 
+def tokens(texts: DataFrame) -> DataFrame:
+    """node and ``tokens``: a hash for each occurrence of a shingle, the k-th of equal ones by itself."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, found = batch.slice(at, 256), []
+                for text in part.column("text").to_pylist():
+                    h, n = hashed(text)
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    found.append(mix(np.repeat(h, n) + nth.astype(np.uint64) * U(0xD6E8FEB86659FD93)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, tokens array<long>")
+
+
+def alike(a: list[np.ndarray], b: list[np.ndarray], like: float = LIKE) -> np.ndarray:
+    """Which texts of ``a`` are alike to which of ``b``, by their tokens."""
+    flat = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    # A token of one text adds to no pair.
+    number = np.cumsum(times > 1) - 1
+    use = times[column] > 1
+    owner, column = owner[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(a), len(b)), np.float64)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, COLUMNS):
+        x, y = np.searchsorted(column, (low, low + COLUMNS))
+        m = np.zeros((len(a) + len(b), COLUMNS), np.float32)
+        m[owner[x:y], column[x:y] - low] = 1
+        shared += m[: len(a)] @ m[len(a) :].T
+    size = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+    return shared / np.maximum(size - shared, 1) >= like
+
+
+def compare_blocks(rest: DataFrame, texts: DataFrame, like: float = LIKE) -> DataFrame:
+    """(bucket, node, class) -> pairs (a, b) of alike texts of a bucket that join all its classes that have some."""
+    ship(rest.sparkSession)
+    blocks = F.ceil(F.col("texts") / BLOCK).cast("int")
+    sized = rest.groupBy("bucket").agg(F.count("*").alias("texts"))
+    own = rest.join(sized, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    # Block i meets block j in the group (i, j), i <= j.
+    met = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    own = own.select("bucket", "node", "class", "block", met).select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            up: dict[int, int] = {r[2]: r[2] for r in rows}
+
+            def find(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            a = [r for r in rows if r[0][3] == r[0][1]]
+            b = [r for r in rows if r[0][3] == r[0][2]]
+            out: tuple[list, list] = ([], [])
+            if len(up) > 1 and a and b:
+                for k in range(0, len(a), BLOCK):
+                    for m in range(0, len(b), BLOCK):
+                        left, right = a[k : k + BLOCK], b[m : m + BLOCK]
+                        ca, cb = np.array([r[2] for r in left]), np.array([r[2] for r in right])
+                        if ca.min() == ca.max() == cb.min() == cb.max():
+                            continue
+                        hit = alike([r[3] for r in left], [r[3] for r in right], like) & (ca[:, None] != cb[None, :])
+                        for x, y in zip(*np.nonzero(hit), strict=True):
+                            p, q = find(left[x][2]), find(right[y][2])
+                            if p != q:
+                                up[p] = q
+                                out[0].append(left[x][1])
+                                out[1].append(right[y][1])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+        rows: list[tuple] = []
+        for batch in batches:
+            lists = batch.column("tokens")
+            for n, (bucket, i, j, block, node, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "node", "class")), strict=True)):
+                if rows and rows[-1][0][:3] != (bucket, i, j):
+                    yield flush(rows)
+                    rows = []
+                rows.append(((bucket, i, j, block), node, label, lists[n].values.to_numpy()))
+        if rows:
+            yield flush(rows)
+
+    hashed = cut(tokens(texts.join(rest.select("node").distinct(), "node")), "near-tokens")
+    dealt = own.join(hashed, "node").repartition("group").sortWithinPartitions("bucket", "i", "j", "node")
+    return dealt.select("bucket", "i", "j", "block", "node", "class", "tokens").mapInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, like: float = LIKE, rounds: int = 4) -> DataFrame:
     """(doc_id, digest, class_id) of every document: the smallest id among the documents of its class."""
     spark = docs.sparkSession
@@ -268,6 +366,14 @@ def classes(docs: DataFrame, like: float = LIKE, rounds: int = 4) -> DataFrame:
                 break
             tried, links = tried.union(pairs), links.union(new)
             labels = components(links)
+        # Small buckets are done; in large ones every two texts of different classes are compared.
+        known = members.select("bucket", "node").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("texts")).filter((F.col("low") != F.col("high")) & (F.col("texts") > SMALL)).select("bucket")
+        rest = cut(known.join(mixed, "bucket"), "near-rest")
+        if not rest.isEmpty():
+            new = cut(verify(cut(compare_blocks(rest, texts, like), "near-pairs"), texts, like), "near-found")
+            if not new.isEmpty():
+                labels = components(links.union(new))
     if labels is not None:
         nodes = nodes.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     else:

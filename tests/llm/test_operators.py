@@ -250,6 +250,43 @@ def test_near_duplicates_in_a_large_group(spark):
     assert sum(alike) > 250 and all(got[i] == 0 for i, ok in enumerate(alike, 1) if ok)
 
 
+@pytest.mark.parametrize("block", [256, 40])
+def test_near_duplicates_without_an_origin(spark, monkeypatch, block):
+    """Couples of like texts in a large group that has no text they all are alike to: the classes of brute force."""
+    monkeypatch.setattr(bagminhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(bagminhash, "COLUMNS", 100, raising=False)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+
+    def changed(words, n):
+        out = list(words)
+        for k in rng.sample(range(300), n):
+            out[k] = f"x{rng.random()}"
+        return out
+
+    rows = []
+    for _ in range(160):
+        one = changed(base, 5)
+        rows += [(len(rows) + k, " ".join(changed(one, 3))) for k in range(2)]
+    bags = [bagminhash.shingles(t.split()) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if bagminhash.likeness(bags[a], bags[b]) >= 0.8:
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    got = bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {i: find(i) for i in range(len(rows))}
+    assert 100 < len(set(want.values())) < 200
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     rude = ["grumblethorp", "snarkle", "vexoid"]
