@@ -16,22 +16,48 @@ question without a group in one task.
 Edge cases: a null or shorter text than 400 bytes loses nothing; a text with copies loses everything; a
 null doc_id is kept; ids that repeat are told apart by text; an empty table gives an empty result. A long text is
 cut into pieces that overlap by a window, so memory is bounded by ``PIECE``.
+
+The same method runs over words, ``WORDS``: a text is then the string of its words' 64-bit hashes, a window has 51 of
+them, and positions count words. White space between words makes no difference there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudlark.llm.common import cut, ship
+from mudlark.llm.common import cut, ship, words
 
 LENGTH, GRAM, PIECE, HOT, BATCH, BROADCAST = 400, 128, 1 << 18, 512, 1 << 20, 1_000_000
 U = np.uint64
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What a window is made of: symbols a window, symbols a k-gram, bytes a symbol."""
+
+    length: int
+    gram: int
+    width: int
+
+    @property
+    def symbol(self) -> type:
+        return np.uint8 if self.width == 1 else np.uint64
+
+    def raw(self, text: Column) -> Column:
+        if self.width == 1:
+            return F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))
+        return F.unhex(F.array_join(F.transform(words(text), lambda w: F.lpad(F.hex(F.xxhash64(w)), 16, "0")), ""))
+
+
+BYTES, WORDS = Unit(LENGTH, GRAM, 1), Unit(51, 16, 8)
 #: The base is 3 modulo 8, so that powers of two divide differences of its powers as little as can be.
 BASE = 0x9E3779B97F4A7C13
 INVERSE = pow(BASE, -1, 2**64)
@@ -61,7 +87,8 @@ class Powers:
         """Prefix polynomial hashes: entry i is the hash of the first i bytes."""
         self.grow(len(data) + 1)
         out = np.zeros(len(data) + 1, U)
-        np.cumsum(self.codes[data] * self.up[: len(data)], out=out[1:])
+        codes = self.codes[data] if data.dtype == np.uint8 else mix(data * U(0x9E3779B97F4A7C15)) | U(1)
+        np.cumsum(codes * self.up[: len(data)], out=out[1:])
         return out
 
 
@@ -84,13 +111,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return (PLACES - (least & PLACES)).astype(np.int64), grams
 
 
-def runs(raw: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(raw: np.ndarray, length: int = LENGTH, piece: int = PIECE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one text: first start, anchor and anchor hash of each run of window starts."""
     lows, places, hashes = [], [], []
     last = len(raw) - length
     for a in range(0, last + 1, piece):
         part = raw[a : min(a + piece, last + 1) + length - 1]
-        at, grams = anchors(part, length)
+        at, grams = anchors(part, length, gram)
         new = np.flatnonzero(np.diff(at, prepend=-1))
         lows.append(new + a)
         places.append(at[new] + a)
@@ -98,12 +125,12 @@ def runs(raw: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple[np.
     return (np.concatenate(lows), np.concatenate(places), np.concatenate(hashes)) if lows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
 
 
-def raw_texts(column: pa.Array) -> Iterator[np.ndarray]:
+def raw_texts(column: pa.Array, symbol: type = np.uint8) -> Iterator[np.ndarray]:
     for x in column:
-        yield np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid and len(x.as_buffer()) else np.zeros(0, np.uint8)
+        yield np.frombuffer(x.as_buffer(), symbol) if x.is_valid and len(x.as_buffer()) else np.zeros(0, symbol)
 
 
-def survey(docs: DataFrame) -> DataFrame:
+def survey(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """One row a document: doc_id, digest, n_bytes, sha256 of the bytes, and its runs."""
     ship(docs.sparkSession)
 
@@ -111,18 +138,17 @@ def survey(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lows, places, hashes = zip(*(runs(raw) for raw in raw_texts(part.column("raw"))), strict=True)
+                lows, places, hashes = zip(*(runs(raw, unit.length, gram=unit.gram) for raw in raw_texts(part.column("raw"), unit.symbol)), strict=True)
                 columns = [pa.array([x.view(np.int64) if x.dtype == U else x for x in c], pa.list_(t)) for c, t in ((hashes, pa.int64()), ([x.astype(np.int32) for x in lows], pa.int32()), ([x.astype(np.int32) for x in places], pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "digest", "n_bytes", "sha")] + columns, names=["doc_id", "digest", "n_bytes", "sha", "hashes", "lows", "places"])
 
-    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    rows = docs.select("doc_id", raw.alias("raw")).select("doc_id", F.unhex(F.md5("raw")).alias("digest"), F.length("raw").cast("long").alias("n_bytes"), F.unhex(F.sha2("raw", 256)).alias("sha"), "raw")
+    rows = docs.select("doc_id", unit.raw(F.col("text")).alias("raw")).select("doc_id", F.unhex(F.md5("raw")).alias("digest"), F.expr(f"length(raw) div {unit.width}").alias("n_bytes"), F.unhex(F.sha2("raw", 256)).alias("sha"), "raw")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     schema = rows.drop("raw").withColumn("hashes", none("bigint")).withColumn("lows", none("int")).withColumn("places", none("int")).schema
     return rows.mapInArrow(run, schema)
 
 
-def extract(held: DataFrame, with_bytes: bool) -> DataFrame:
+def extract(held: DataFrame, with_bytes: bool, unit: Unit = BYTES) -> DataFrame:
     """(node, raw, asked: low, starts, offset, hash) -> one row a run with the digest of its context, or its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +159,7 @@ def extract(held: DataFrame, with_bytes: bool) -> DataFrame:
                 node, raw = batch.column("node")[k].as_py(), batch.column("raw")[k].as_buffer()
                 for x in batch.column("asked")[k].as_py():
                     low, starts, offset, h = x["low"], x["starts"], x["offset"], x["hash"]
-                    context = raw[low : low + starts + LENGTH - 1].to_pybytes()
+                    context = raw[low * unit.width : (low + starts + unit.length - 1) * unit.width].to_pybytes()
                     found = hashlib.blake2b(context, digest_size=16, key=b"%d.%d" % (offset, starts)).digest()
                     out.append((node, low, starts, offset, h, found, context if with_bytes else None))
                     size += len(context) if with_bytes else 64
@@ -224,10 +250,10 @@ class Suffixes:
         return order
 
 
-def repeated(contexts: list[bytes], offsets: list[int], starts: list[int], groups: list[int], length: int = LENGTH) -> list[np.ndarray]:
+def repeated(contexts: list[bytes], offsets: list[int], starts: list[int], groups: list[int], length: int = LENGTH, symbol: type = np.uint8) -> list[np.ndarray]:
     """For each context, which of its window starts have an equal window elsewhere in its group."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    first = np.cumsum([0, *(len(c) for c in contexts[:-1])])
+    data = np.frombuffer(b"".join(contexts), symbol)
+    first = np.cumsum([0, *(len(c) // data.itemsize for c in contexts[:-1])])
     n = np.array(starts)
     owner = np.repeat(np.arange(len(contexts)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -259,8 +285,8 @@ def collides(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> boo
     x, y = x[order], y[order]
     new = np.flatnonzero((np.diff(x, prepend=-9) != 1) | (np.diff(y, prepend=-9) != 1))
     ends = np.append(new[1:], len(x))
-    raw = memoryview(data)
-    return any(raw[x[a] : x[b - 1] + length] != raw[y[a] : y[b - 1] + length] for a, b in zip(new, ends, strict=True))
+    raw, w = memoryview(data).cast("B"), data.itemsize
+    return any(raw[x[a] * w : (x[b - 1] + length) * w] != raw[y[a] * w : (y[b - 1] + length) * w] for a, b in zip(new, ends, strict=True))
 
 
 def ranges(flag: np.ndarray) -> tuple[list[int], list[int]]:
@@ -269,11 +295,11 @@ def ranges(flag: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist()
 
 
-def sort_groups(contexts: DataFrame) -> DataFrame:
+def sort_groups(contexts: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """(hash, context, offset, starts, bytes), grouped by hash in partitions -> context and its repeated starts."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        flags = repeated([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows], list(np.unique([r[0] for r in rows], return_inverse=True)[1]))
+        flags = repeated([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows], list(np.unique([r[0] for r in rows], return_inverse=True)[1]), unit.length, unit.symbol)
         found = [(r[1], *ranges(f)) for r, f in zip(rows, flags, strict=True) if f.any()]
         columns = list(zip(*found, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.int32()))], names=["context", "begins", "ends"])
@@ -294,7 +320,7 @@ def sort_groups(contexts: DataFrame) -> DataFrame:
     return contexts.select("hash", "context", "offset", "starts", "bytes").mapInArrow(run, "context binary, begins array<int>, ends array<int>")
 
 
-def count_windows(contexts: DataFrame) -> DataFrame:
+def count_windows(contexts: DataFrame, unit: Unit = BYTES) -> DataFrame:
     """The same question for hot hashes: the windows of all contexts are counted by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +328,7 @@ def count_windows(contexts: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 rows = [
-                    (context, i, hashlib.blake2b(raw[i : i + LENGTH], digest_size=16, key=b"%d" % (offset - i)).digest())
+                    (context, i, hashlib.blake2b(raw[i * unit.width : (i + unit.length) * unit.width], digest_size=16, key=b"%d" % (offset - i)).digest())
                     for raw, context, offset, n in zip(*(part.column(c).to_pylist() for c in ("bytes", "context", "offset", "starts")), strict=True)
                     for i in range(n)
                 ]
@@ -316,50 +342,50 @@ def count_windows(contexts: DataFrame) -> DataFrame:
     return starts.select("context", first.alias("begins"), last.alias("ends"))
 
 
-def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def spans(docs: DataFrame, unit: Unit = BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The survey of all documents; nodes (one a text) with merged removed spans; the texts of nodes that lose a part."""
     docs = docs.select("doc_id", "text")
     ship(docs.sparkSession)
-    signed = cut(survey(docs), "suffix-survey")
+    signed = cut(survey(docs, unit), "suffix-survey")
     nodes = cut(
         signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("sha").alias("sha"), F.first(F.struct("hashes", "lows", "places")).alias("runs")).withColumn("node", F.monotonically_increasing_id()),
         "suffix-nodes",
     )
     run = F.posexplode(F.arrays_zip(F.col("runs.hashes").alias("hash"), F.col("runs.lows").alias("low"), F.col("runs.places").alias("place")))
-    every = nodes.select("node", "n_bytes", "runs.lows", run).select("node", F.col("col.hash").alias("hash"), F.col("col.low").alias("low"), F.col("col.place").alias("place"), (F.coalesce(F.get("lows", F.col("pos") + 1), F.col("n_bytes").cast("int") - LENGTH + 1) - F.col("col.low")).alias("starts"))
+    every = nodes.select("node", "n_bytes", "runs.lows", run).select("node", F.col("col.hash").alias("hash"), F.col("col.low").alias("low"), F.col("col.place").alias("place"), (F.coalesce(F.get("lows", F.col("pos") + 1), F.col("n_bytes").cast("int") - unit.length + 1) - F.col("col.low")).alias("starts"))
     twice = every.select("hash", F.xxhash64("node", "place").alias("spot")).groupBy("hash").agg(F.min("spot").alias("low"), F.max("spot").alias("high")).filter("low <> high").select("hash")
     asked = F.struct("low", "starts", (F.col("place") - F.col("low")).alias("offset"), "hash").alias("run")
     wanted = cut(every.join(twice, "hash").select("node", asked).groupBy("node").agg(F.collect_list("run").alias("asked")), "suffix-wanted")
 
-    own = docs.select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("raw")).withColumn("digest", F.unhex(F.md5("raw")))
+    own = docs.select("doc_id", unit.raw(F.col("text")).alias("raw")).withColumn("digest", F.unhex(F.md5("raw")))
     ids = wanted.select("node").join(nodes.select("node", "first", "digest"), "node").select("node", F.col("first").alias("_first"), F.col("digest").alias("_digest"))
     held = own.join(F.broadcast(ids) if wanted.count() <= BROADCAST else ids, own["doc_id"].eqNullSafe(ids["_first"]) & (own["digest"] == ids["_digest"]))
     texts = cut(held.select("node", "raw").dropDuplicates(["node"]), "suffix-texts")
 
-    seen = cut(extract(texts.join(wanted, "node"), False).drop("bytes"), "suffix-contexts")
+    seen = cut(extract(texts.join(wanted, "node"), False, unit).drop("bytes"), "suffix-contexts")
     each = seen.groupBy("hash", "context").agg(F.count("*").alias("times"), F.min(F.struct("node", "low", "starts", "offset")).alias("one"))
     each = cut(each, "suffix-each")
     per = each.groupBy("hash").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     several = each.join(per, "hash")
     again = F.struct(F.col("one.low").alias("low"), F.col("one.starts").alias("starts"), F.col("one.offset").alias("offset"), "hash").alias("run")
     bytes_of = texts.join(several.select(F.col("one.node").alias("node"), again).groupBy("node").agg(F.collect_list("run").alias("asked")), "node")
-    full = extract(bytes_of, True)
+    full = extract(bytes_of, True, unit)
     hot = cut(per.filter(F.col("contexts") > HOT).select("hash"), "suffix-hot")
     if hot.isEmpty():
         warm, found = full, None
     else:
         full = cut(full, "suffix-bytes")
         warm = full.join(hot, "hash", "left_anti")
-        found = count_windows(full.join(hot, "hash"))
-    sorted_ = sort_groups(warm.repartition("hash").sortWithinPartitions("hash", "context"))
+        found = count_windows(full.join(hot, "hash"), unit)
+    sorted_ = sort_groups(warm.repartition("hash").sortWithinPartitions("hash", "context"), unit)
     found = sorted_ if found is None else sorted_.unionByName(found)
     # A context that occurs twice is repeated as a whole, whatever its neighbours are.
     whole = each.filter("times > 1").select("context", F.array(F.lit(0)).alias("begins"), F.array(F.col("one.starts") - 1).alias("ends"))
     found = cut(whole.unionByName(found.join(whole.select("context"), "context", "left_anti")), "suffix-found")
     pieces = seen.join(found, "context").select("node", F.explode(F.arrays_zip("begins", "ends")).alias("x"), "low")
-    pieces = pieces.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((F.col("low") + F.col("x.begins")).alias("a"), (F.col("low") + F.col("x.ends") + LENGTH).alias("b")))).alias("pieces"))
+    pieces = pieces.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((F.col("low") + F.col("x.begins")).alias("a"), (F.col("low") + F.col("x.ends") + unit.length).alias("b")))).alias("pieces"))
     known = nodes.select("node", "digest", "first", "copies", "n_bytes", "sha").join(pieces, "node", "left")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= unit.length)
     everything = F.array(F.struct(F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b")))
     known = known.withColumn("pieces", F.when(gone, everything).otherwise(F.coalesce("pieces", F.array().cast("array<struct<a:int,b:int>>"))))
     return signed, cut(known, "suffix-pieces"), texts
@@ -420,6 +446,33 @@ def dedup(docs: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.coalesce("_kept", "text")).select(*names)
 
 
+def without(text: str, removed: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans, and without the white space behind each of them."""
+    at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    edges = [0]
+    for a, b in removed:
+        edges += [at[a][0], at[b][0] if b < len(at) else at[-1][1]]
+    edges.append(len(text))
+    return "".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
+
+
+def dedup_words(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
+    """The documents without the passages of ``unit.length`` words or more that also start somewhere else. All columns stay."""
+    names = docs.columns
+    _, known, _ = spans(docs, unit)
+    some = known.filter(F.size("pieces") > 0).select(F.col("digest").alias("_digest"), F.col("pieces").alias("_pieces"))
+    held = docs.withColumn("_own", F.unhex(F.md5(unit.raw(F.col("text")))))
+    joined = held.join(some, held["_own"] == some["_digest"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if p is None else without(t, merged(p)) for t, p in zip(batch.column("text").to_pylist(), batch.column("_pieces").to_pylist(), strict=True)]
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.select(*names, "_pieces").mapInArrow(run, docs.schema)
+
+
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return results(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -103,6 +103,34 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     assert suffix_dedup.results(empty).count() == 0
 
 
+def test_stage_cuts_passages_of_51_words(spark, monkeypatch):
+    """Against brute force: passages of 51 words go though they have fewer than 400 bytes, those of 50 words stay."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    prose = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(1000)}" for _ in range(n)]
+    short, long, most = prose(50), prose(51), prose(55)
+    assert len(" ".join(most)) < 400
+    texts = [prose(20) + x + prose(20) for x in (short, long, most) for _ in range(3)] + [prose(80), long + prose(9), prose(9) + most, long, most]
+    texts = [(["\t", " ", "\n\n"][i % 3]).join(t) for i, t in enumerate(texts)] + [None, "", " \n "]
+    seen = Counter()
+    for t in texts:
+        w = words_of(t)
+        seen.update(tuple(w[k : k + 51]) for k in range(len(w) - 50))
+    want = []
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        gone = {k + j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(51)}
+        want.append((i, [x for k, x in enumerate(w) if k not in gone]))
+    frame = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for hot in (512, 1):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        rows = corpus_pipeline.cut_repeats(spark, frame, "").collect()
+        assert sorted((r["doc_id"], words_of(r["text"])) for r in rows) == want
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    assert [n for _, n in want[:3]] != [[]] * 3 and not want[12][1]
+
+
 def test_suffix_sort():
     rng = random.Random(3)
     data = [bytes(rng.choice(b"ab") for _ in range(700)) for _ in range(3)]
