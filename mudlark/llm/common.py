@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,15 +14,18 @@ from pyspark.sql import types as T
 
 #: One or more of the characters that part words: space, tab to carriage return.
 GAP = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    A folder of this machine is made only where the setting is unset, which is the case in local tests.
+    A folder of this machine is made only where the setting is unset and all runs on this machine, as in local tests.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='mudlark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,10 +51,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it again, so lost executors can't undo it."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` as Parquet to the shared folder and reads it again, so lost executors can't undo it.
+
+    Its shuffle files are of no more use then and go at once.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, *frames: DataFrame) -> None:

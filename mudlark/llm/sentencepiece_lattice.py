@@ -2,49 +2,63 @@
 
 A text becomes the model's form: a space is written as U+2581 and one goes in front. It is cut into units where
 no piece of the model can cross: before a run of U+2581, and, if the model's pieces allow, between letters and
-other characters. Units repeat, so each different one is encoded once: its substrings up to the longest
-piece are exploded and equi-joined to the piece table, the edges are grouped by unit, and ``aggregate`` folds
-Viterbi over them in order of their ends. A character without a piece of its own is an edge of the lowest score and is
-written as the byte pieces of its UTF-8 form. Of paths with equal scores the one whose last
-piece, and so on backwards, is longer wins.
+other characters. Units repeat, so each different one is encoded once, whatever its length: its substrings, up to the
+length of the longest piece that has their last characters, are exploded and equi-joined to the piece table, the edges
+are grouped by unit, and ``aggregate`` folds Viterbi over them in order of their ends, in blocks of ``BLOCK`` ends so that
+no array is copied as often as a long unit has ends. A character without a piece of its own is an edge of the lowest
+score and is written as the byte pieces of its UTF-8 form. Of paths with equal sums the one whose last piece, and so on
+backwards, is longer wins. Sums are of fixed-point scores of 31 bits: exact for whole scores, and alike in any order.
 
 The path has the largest sum of the model's piece scores. For a model of unigram type that is SentencePiece's
 own encoding; a model of BPE type has merge ranks as its scores and its library merges by them one by
 one, so ids can differ from the library's while they decode to the same text.
 
-The ``FREQUENT`` most frequent units go to the documents by broadcast: at most that many rows of at most
-``SHORT`` characters. All others go by shuffled joins. Units over ``LONG`` characters, where a fold would copy long arrays,
-are encoded by the same recurrence in Python.
+A document's ids are those of its units, put together in order. The most frequent units go to the documents by broadcast,
+``HOT_BYTES`` of them at most; each other unit is sent to the documents that hold it by shuffled joins.
 
-Edge cases: a null or empty text has no pieces and decodes to the empty text; rows with equal ids are kept
-apart by text, and rows that repeat in both give a row each; an empty table gives an empty result.
+Edge cases: a null or empty text has no pieces and decodes to the empty text; rows that repeat give a row each; a U+2581
+of the text itself decodes to a space, as the model's form can't tell them apart; an empty table gives an empty
+result; other columns are not looked at. Memory is bounded by the edges of the longest unit and by the longest text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudlark.llm.common import cut, ship
+from mudlark.llm.common import cut, forget, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-FREQUENT, SHORT, LONG = 400_000, 32, 256
-#: Moduli of the checksum: of a place in a text, and of a unit's ids. Their product times 2^25 units is below 2^63.
-PLACES, CODES = 65_521, 4_194_301
+#: Ends that a fold goes over at a time; different texts that a task counts or remembers at a time; units of a task.
+BLOCK, HELD, TASK = 256, 300_000, 25_000
+#: Bytes of units and ids that are broadcast, as Python holds them.
+HOT_BYTES = 48 << 20
+#: Characters at the end of a substring by which the length of its pieces is bounded.
+TAIL = 3
+#: An edge as a long: fixed-point score, 22 bits of id (or UNKNOWN and the code point), 8 bits of length.
+UNKNOWN = 1 << 21
+LETTERS = re.compile(rf"{SPACE}*(?:[^\W\d_]+|(?:[\d_]|[^\w{SPACE}])+)|{SPACE}+")
+WORDS = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @dataclass(frozen=True)
 class Pieces:
-    table: list[tuple[str, int, float]]  # text, id, score
+    table: list[tuple[str, int, int]]  # text, id, fixed-point score
     longest: int
-    unknown: float
+    unknown: int
     byte_ids: list[int]
-    plain: bool  # no piece holds both letters and others, but for spaces in front
+    cut: str  # what no piece crosses: "letters", "words" or "texts"
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -52,170 +66,373 @@ class Pieces:
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-        table = [(m.id_to_piece(i), i, m.get_score(i)) for i in ids]
         byte_ids = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        crosses = any(SPACE in t.lstrip(SPACE) for t, _, _ in table)
-        if crosses:
-            raise ValueError("a piece of this model spans words")
-        plain = all(len({letter(c) for c in t.lstrip(SPACE)}) <= 1 for t, _, _ in table)
-        return cls(table, max(len(t) for t, _, _ in table), min(s for _, _, s in table) - 10, byte_ids, plain)
+        if not all(m.is_byte(i) for i in byte_ids):
+            raise ValueError("this model has no byte pieces for unknown characters")
+        texts = {i: m.id_to_piece(i) for i in ids}
+        longest = max(map(len, texts.values()))
+        if longest > 255 or m.get_piece_size() > UNKNOWN:
+            raise ValueError("this model's pieces are too long or too many")
+        scores = {i: m.get_score(i) for i in ids}
+        unknown = min(scores.values()) - 10
+        scale = 2.0 ** (30 - math.ceil(math.log2(max(1.0, -unknown, max(scores.values())))))
+        crosses = any(SPACE in t.lstrip(SPACE) for t in texts.values())
+        plain = all(len(LETTERS.findall(t)) == 1 for t in texts.values())
+        return cls([(t, i, round(scores[i] * scale)) for i, t in texts.items()], longest, round(unknown * scale), byte_ids, "texts" if crosses else "letters" if plain else "words")
+
+    def spelled(self) -> list[bytes]:
+        """The bytes of each id."""
+        known = {i: t.encode() for t, i, _ in self.table} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        return [known.get(i, b"") for i in range(max(known) + 1)]
+
+
+def chunks(text: str | None) -> list[str]:
+    """The text in the model's form, cut before each run of U+2581."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or SPACE in text:
+        return WORDS.findall(SPACE + text.replace(" ", SPACE))
+    return f"{SPACE}{text.replace(' ', f' {SPACE}')}".split(" ")
+
+
+def splitter(cut: str) -> tuple[Callable[[str | None], list[str]], Callable[[str], list[str]]]:
+    """How to cut a text into chunks, and a chunk into units; put together in order they are the model's form."""
+    if cut == "texts":
+        return lambda t: [SPACE + t.replace(" ", SPACE)] if t else [], lambda c: [c]
+    return chunks, LETTERS.findall if cut == "letters" else lambda c: [c]
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text", rows: int = 256) -> Iterator[tuple[int, list[str | None]]]:
+    for at in range(0, batch.num_rows, rows):
+        yield at, batch.column(column).slice(at, rows).to_pylist()
+
+
+def count_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """Every different unit of the texts and its number. A task counts ``HELD`` chunks at a time before it shuffles."""
+    how = pieces.cut
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into, apart = splitter(how)
+        seen: Counter = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found: Counter = Counter()
+            for c, n in seen.items():
+                for u in apart(c):
+                    found[u] += n
+            seen.clear()
+            units, times = list(found), list(found.values())
+            for k in range(0, len(units), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(units[k : k + 10_000], pa.string()), pa.array(times[k : k + 10_000], pa.int64())], names=["unit", "n"])
 
-def letter(c: str) -> bool:
-    return c.isalpha()
-
-
-def units(text: Column, plain: bool) -> Column:
-    """The units of a text in the model's form, in order; their concatenation is that form."""
-    form = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    # In plain models a unit is: spaces and letters, or spaces and other characters, or spaces at the end.
-    pattern = rf"{SPACE}*(?:\p{{IsAlphabetic}}+|[^{SPACE}\p{{IsAlphabetic}}]+)|{SPACE}+" if plain else rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(form, F.lit(f"(?s){pattern}"), F.lit(0)))
-
+        for batch in batches:
+            for _, texts in texts_of(batch):
+                for t in texts:
+                    seen.update(into(t))
+                if len(seen) > HELD:
+                    yield from flush()
+        yield from flush()
 
-def viterbi(unit: str, known: dict[str, tuple[int, float]], longest: int, unknown: float) -> list[tuple[int, int, int]]:
-    """The best path as (start, end, id), id -1 for an unknown character: the fold's recurrence, in Python."""
-    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
-    for end in range(1, len(unit) + 1):
-        found: tuple[float, int, int] | None = None
-        for start in range(max(0, end - longest), end):
-            piece = known.get(unit[start:end]) or ((-1, unknown) if end - start == 1 else None)
-            if piece and (found is None or best[start][0] + piece[1] > found[0]):
-                found = (best[start][0] + piece[1], start, piece[0])
-        best.append(found)
-    path, end = [], len(unit)
-    while end:
-        path.append((best[end][1], end, best[end][2]))
-        end = best[end][1]
-    return path[::-1]
+    return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def spell(unit: str, path: list[tuple[int, int, int]], byte_ids: list[int]) -> list[int]:
-    return [i for a, b, k in path for i in ([k] if k >= 0 else [byte_ids[x] for x in unit[a:b].encode()])]
+def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n) -> a row an edge, a unit's rows one after another in order of their ends: the unit and n (first row of a unit only), end, edge."""
+    spark = words.sparkSession
+    # The piece table's size is the model's vocabulary, so both tables are broadcast.
+    table = F.broadcast(spark.createDataFrame(pieces.table, "piece string, id int, score int"))
+    bounds: dict[str, int] = {}
+    for t, _, _ in pieces.table:
+        if len(t) >= TAIL:
+            bounds[t[-TAIL:]] = max(bounds.get(t[-TAIL:], 0), len(t))
+    bounded = F.broadcast(spark.createDataFrame(list(bounds.items()) or [("", 0)], "tail string, bound int"))
+    ends = words.select("unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("end"))
+    ends = ends.withColumn("tail", F.when(F.col("end") >= TAIL, F.substring("unit", F.col("end") - (TAIL - 1), F.lit(TAIL)))).join(bounded, "tail", "left")
+    most = F.least("end", F.coalesce("bound", F.lit(TAIL - 1)))
+    spans = ends.select("unit", "n", "end", F.explode(F.sequence(most, F.lit(1), F.lit(-1))).alias("length"))
+    spans = spans.withColumn("piece", F.substring("unit", F.col("end") - F.col("length") + 1, F.col("length")))
+    found = spans.join(table, "piece", "left").filter("id is not null or length = 1")
+    code = F.coalesce("id", F.ascii("piece") + UNKNOWN).cast("long")
+    edge = F.coalesce("score", F.lit(pieces.unknown)).cast("long") * (1 << 30) + code * 256 + F.col("length")
+    opens = F.col("end") == 1
+    return found.select(F.when(opens, F.col("unit")).alias("unit"), F.when(opens, F.col("n")).alias("n"), "end", edge.alias("edge"))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Edges grouped by unit: unit, n, and ``cands``, for each end in order the edges there, long ones first.
+
+    The rows of a unit follow one another, as nothing was shuffled since they were exploded; that is checked here.
+    """
 
+    def group(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        end, edge = whole["end"].to_numpy(), whole["edge"].to_numpy()
+        opens = whole["unit"].is_valid().to_numpy(zero_copy_only=False)
+        step = np.diff(end)
+        if not opens[0] or (end[opens] != 1).any() or (~opens[1:] & ((step < 0) | (step > 1) | ((step == 0) & (np.diff(edge & 255) >= 0)))).any():
+            raise RuntimeError("the edges of a unit came out of order")
+        first = np.flatnonzero(np.concatenate([[True], opens[1:] | (step != 0)]))
+        inner = pa.ListArray.from_arrays(pa.array(np.append(first, len(end)).astype(np.int32)), pa.array(edge))
+        outer = np.append(np.searchsorted(first, np.flatnonzero(opens)), len(first)).astype(np.int32)
+        kept = whole.select(["unit", "n"]).filter(pa.array(opens)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(kept[c].combine_chunks() for c in ("unit", "n")), pa.ListArray.from_arrays(pa.array(outer), inner)], names=["unit", "n", "cands"])
 
-def edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(unit) -> unit and its edges, an array of (end, start, score, id) in order: the lattice."""
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("unit")), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - a + 1)), lambda n: F.struct(a.alias("a"), n.alias("n")))))
-    parts = words.select("unit", F.explode(spans).alias("s")).select("unit", (F.col("s.a") - 1).alias("start"), F.col("s.n").alias("n"), F.substring("unit", F.col("s.a"), F.col("s.n")).alias("piece"))
-    # The piece table's size is the model's vocabulary, so it is broadcast.
-    found = parts.join(F.broadcast(table), "piece", "left").filter("id is not null or n = 1")
-    edge = F.struct((F.col("start") + F.col("n")).alias("end"), "start", "score", "id")
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            opens = np.flatnonzero(batch.column("unit").is_valid().to_numpy(zero_copy_only=False))
+            if len(opens):
+                last = int(opens[-1])
+                held.append(batch.slice(0, last))
+                if sum(b.num_rows for b in held):
+                    yield group(held)
+                held = []
+                batch = batch.slice(last)
+            held.append(batch)
+        if sum(b.num_rows for b in held):
+            yield group(held)
+
+    return rows.mapInArrow(run, "unit string, n long, cands array<array<long>>")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold(lattice: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n, cands) -> unit, n and the ids of the best path."""
+    length = lambda x: x.bitwiseAND(F.lit(255)).cast("int")
+    score = lambda x: F.shiftright(x, 30)
+    code = lambda x: F.shiftright(x, 8).bitwiseAND(F.lit((1 << 22) - 1)).cast("int")
+    longs = lambda *xs: F.array(*xs).cast("array<bigint>")
+
+    # Forwards: ``near`` has the best sums of the last ends, so an edge of length k looks k entries back.
+    def end(near: Column, cands: Column) -> Column:
+        return F.concat(near, F.array(F.array_max(F.transform(cands, lambda x: F.element_at(near, -length(x)) + score(x)))))
+
+    def forwards(s: Column, k: Column) -> Column:
+        def keep(near: Column) -> Column:
+            old = F.greatest(F.size(near) - pieces.longest, F.lit(0))
+            return F.struct(F.slice(near, old + 1, F.lit(pieces.longest)).alias("near"), F.concat(s["sums"], F.slice(near, F.size(s["near"]) + 1, F.lit(BLOCK))).alias("sums"))
+
+        return let(F.aggregate(F.slice("cands", k * BLOCK + 1, F.lit(BLOCK)), s["near"], end), keep)
+
+    blocks = F.sequence(F.lit(0), F.expr(f"(size(cands) - 1) div {BLOCK}").cast("int"))
+    zero = F.struct(longs(F.lit(0)).alias("near"), longs(F.lit(0)).alias("sums"))
+    summed = lattice.withColumn("sums", F.aggregate(blocks, zero, forwards, lambda s: s["sums"]))
+
+    # Backwards: at each node on the path, the first edge whose sum is the node's own.
+    def node(s: Column, p: Column) -> Column:
+        best = lambda: F.get(F.filter(F.get("cands", p - 1), lambda x: F.get("sums", p - length(x)) + score(x) == F.get("sums", p)), F.lit(0))
+        taken = lambda x: F.struct((p - length(x)).alias("at"), F.concat(F.array(x), s["part"]).alias("part"))
+        return F.when(p != s["at"], s).otherwise(let(best(), taken))
+
+    def backwards(s: Column, k: Column) -> Column:
+        high = F.size("cands") - k * BLOCK
+        start = F.struct(s["at"].alias("at"), longs().alias("part"))
+        part = F.aggregate(F.sequence(high, F.greatest(high - (BLOCK - 1), F.lit(1)), F.lit(-1)), start, node)
+        return let(part, lambda r: F.struct(r["at"].alias("at"), F.concat(F.array(r["part"]), s["parts"]).alias("parts")))
+
+    none = F.struct(F.size("cands").alias("at"), F.array().cast("array<array<bigint>>").alias("parts"))
+    path = summed.select("unit", "n", F.aggregate(blocks, none, backwards, lambda s: F.flatten(s["parts"])).alias("path"))
+
+    def spelled(x: Column) -> Column:
+        c = code(x) - UNKNOWN
+        more = lambda shift: F.shiftright(c, shift).bitwiseAND(F.lit(63)) + 128
+        raw = F.when(c < 0x80, F.array(c)).when(c < 0x800, F.array(F.shiftright(c, 6) + 0xC0, more(0))).when(c < 0x10000, F.array(F.shiftright(c, 12) + 0xE0, more(6), more(0)))
+        raw = raw.otherwise(F.array(F.shiftright(c, 18) + 0xF0, more(12), more(6), more(0)))
+        ids = F.array(*[F.lit(i) for i in pieces.byte_ids])
+        return F.when(c < 0, F.array(code(x))).otherwise(F.transform(raw, lambda b: F.element_at(ids, b + 1)))
+
+    strange = F.exists("path", lambda x: code(x) >= UNKNOWN)
+    return path.select("unit", "n", F.when(strange, F.flatten(F.transform("path", spelled))).otherwise(F.transform("path", code)).alias("ids"))
 
 
-def fold(lattice: DataFrame, unknown: float, byte_ids: list[int]) -> DataFrame:
-    """(unit, edges) -> unit and ids of the best path."""
-    node = "struct<score:double,start:int,id:int>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id")).cast(node))
+def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, n) of different units -> unit, n, ids."""
+    ship(words.sparkSession)
+    return fold(grouped(edges(words, pieces)), pieces)
 
-    def step(best: Column, e: Column) -> Column:
-        score = F.element_at(best, e["start"] + 1)["score"] + F.coalesce(e["score"], F.lit(unknown))
-        here = F.array(F.struct(score.alias("score"), e["start"].alias("start"), F.coalesce(e["id"], F.lit(-1)).alias("id")).cast(node))
-        # Edges come in order of their ends: the first with an end opens its node, later ones may better it.
-        return F.when(F.size(best) == e["end"], F.concat(best, here)).when(score > F.element_at(best, -1)["score"], F.concat(F.slice(best, F.lit(1), F.size(best) - 1), here)).otherwise(best)
 
-    best = lattice.withColumn("best", F.aggregate("edges", first, step))
-    start = F.struct(F.length("unit").alias("at"), F.array().cast("array<struct<start:int,end:int,id:int>>").alias("path"))
+def vocabulary(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """Every different unit of the texts with its number and its ids."""
+    spark = docs.sparkSession
+    ship(spark)
+    words = cut(count_units(docs, pieces), "piece-units")
+    # Some thousand units are much work and few bytes: they are dealt out by number and not by size.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, words.count() // TASK + 1)
+    found = cut(encode_units(words.repartition(tasks, "unit"), pieces), "piece-vocabulary")
+    forget(spark, words)
+    return found
+
+
+def frequent(words: DataFrame, most: int | None = None) -> int:
+    """The least number of a unit that is broadcast: the more frequent ones have ``most`` bytes at most. Bounded many rows come to the driver, one a step of numbers."""
+    cost = F.length("unit") * 2 + F.size("ids") * 4 + 150
+    step = F.floor(F.log2("n") * 16)
+    rows = words.groupBy(step.alias("step")).agg(F.sum(cost).alias("cost"), F.min("n").alias("least")).collect()
+    total, least = 0, 1 << 62
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        total += r["cost"]
+        if total > (HOT_BYTES if most is None else most):
+            break
+        least = r["least"]
+    return least
+
+
+class Encoder:
+    """The documents' side: known units with their ids as bytes of int32, and what chunks they make."""
+
+    def __init__(self, how: str, hot: dict[str, bytes]):
+        self.into, self.apart = splitter(how)
+        self.hot, self.known = hot, {}
+
+    def chunk(self, c: str) -> bytes | None:
+        """The ids of a chunk; None if a unit of it isn't broadcast."""
+        ids = [self.hot.get(u) for u in self.apart(c)]
+        if None in ids:
+            return None
+        if len(self.known) >= HELD:
+            self.known.clear()
+        found = self.known[c] = b"".join(ids)
+        return found
+
+    def rare(self, text: str | None) -> set[str]:
+        """The units of a text that aren't broadcast."""
+        return {u for c in set(self.into(text)) if c not in self.known and self.chunk(c) is None for u in self.apart(c) if u not in self.hot}
+
+    def encode(self, text: str | None, own: dict[str, bytes]) -> bytes:
+        parts = self.into(text)
+        ids = list(map(self.known.get, parts))
+        for k, x in enumerate(ids):
+            if x is None:
+                x = self.chunk(parts[k])
+                ids[k] = b"".join(self.hot.get(u) or own[u] for u in self.apart(parts[k])) if x is None else x
+        return b"".join(ids)
+
+
+def raw_lists(column: pa.Array) -> list[bytes]:
+    """Lists of int32 as bytes."""
+    at = column.offsets.to_numpy()
+    flat = column.values.to_numpy().astype(np.int32, copy=False)
+    return [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def put_together(docs: DataFrame, pieces: Pieces, body: Callable, schema: str) -> DataFrame:
+    """``body(doc_ids, texts, ids as bytes of int32)`` makes the result's batches from all documents and their ids."""
+    spark = docs.sparkSession
+    words = vocabulary(docs.select("text"), pieces)
+    least = frequent(words)
+    table = words.filter(F.col("n") >= least).select("unit", "ids").toArrow().combine_chunks()
+    hot = dict(zip(table["unit"].to_pylist(), raw_lists(table["ids"].combine_chunks()) if table.num_rows else [], strict=True))
+    shared, how = spark.sparkContext.broadcast(hot), pieces.cut
+    rows = docs.select("doc_id", "text")
+
+    def made(encoder: Encoder, doc_ids: pa.Array, texts: list[str | None], own: list[dict[str, bytes]]) -> pa.RecordBatch:
+        return body(doc_ids, texts, [encoder.encode(t, x) for t, x in zip(texts, own, strict=True)])
+
+    rest = words.filter(F.col("n") < least).select("unit", "ids")
+    if rest.isEmpty():
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder = Encoder(how, shared.value)
+            for batch in batches:
+                for at, texts in texts_of(batch):
+                    yield made(encoder, batch.column("doc_id").slice(at, len(texts)), texts, [{}] * len(texts))
+
+        return rows.mapInArrow(whole, schema)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(how, shared.value)
+        for batch in batches:
+            for at, texts in texts_of(batch):
+                found = [sorted(encoder.rare(t)) for t in texts]
+                keys = np.repeat(batch.column("key").slice(at, len(texts)).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([u for x in found for u in x], pa.string())], names=["key", "unit"])
+
+    # Documents whose keys are equal by chance only share their lists: ids hang on units alone.
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    sent = cut(keyed.select("key", "text").mapInArrow(find, "key long, unit string").join(rest, "unit"), "piece-sent")
+    lists = sent.groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("own"))
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for at, texts in texts_of(batch):
+                packed = [None if t is None else press.compress(t.encode()) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(texts)) for c in ("key", "doc_id")] + [pa.array(packed, pa.binary())], names=["key", "doc_id", "packed"])
 
-    def back(s: Column, _: Column) -> Column:
-        b = F.element_at(F.col("best"), s["at"] + 1)
-        here = F.array(F.struct(b["start"].alias("start"), s["at"].alias("end"), b["id"].alias("id")))
-        return F.when(s["at"] == 0, s).otherwise(F.struct(b["start"].alias("at"), F.concat(here, s["path"]).alias("path")))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, press = Encoder(how, shared.value), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [None if x is None else press.decompress(x).decode() for x in part.column("packed").to_pylist()]
+                own: list[dict[str, bytes]] = []
+                for x in part.column("own"):
+                    flat = x.values if x.is_valid else None
+                    own.append(dict(zip(flat.field("unit").to_pylist(), raw_lists(flat.field("ids")), strict=True)) if flat is not None and len(flat) else {})
+                yield made(encoder, part.column("doc_id"), texts, own)
 
-    path = F.aggregate(F.sequence(F.lit(1), F.length("unit")), start, back, lambda s: s["path"])
-    codes = F.array(*[F.lit(i) for i in byte_ids])
+    # Texts go through the shuffle packed.
+    packed = keyed.mapInArrow(pack, f"key long, doc_id {doc_type}, packed binary")
+    return packed.join(lists, "key", "left").select("doc_id", "packed", "own").mapInArrow(unpack, schema)
 
-    def ids(e: Column) -> Column:
-        raw = F.hex(F.encode(F.substring(F.col("unit"), e["start"] + 1, e["end"] - e["start"]), "UTF-8"))
-        spelled = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.element_at(codes, F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(e["id"] >= 0, F.array(e["id"])).otherwise(spelled)
 
-    return best.withColumn("path", path).select("unit", F.flatten(F.transform("path", ids)).alias("ids"))
+def list_of(raw: list[bytes]) -> pa.Array:
+    """Bytes of int32 as lists."""
+    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
 
 
-def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n) of different units -> unit, n, ids."""
-    spark = words.sparkSession
-    ship(spark)
-    table = spark.createDataFrame([(t, i, float(s)) for t, i, s in pieces.table], "piece string, id int, score double")
-    short = words.filter(F.length("unit") <= LONG).select("unit")
-    found = fold(edges(short, table, pieces.longest), pieces.unknown, pieces.byte_ids)
-    shared = spark.sparkContext.broadcast(pieces)
+def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
+    """doc_id, text and ``ids`` of every document."""
+    pieces = Pieces.load(path)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        known = {t: (i, s) for t, i, s in p.table}
-        for batch in batches:
-            for unit in batch.column("unit").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([spell(unit, viterbi(unit, known, p.longest, p.unknown), p.byte_ids)], pa.list_(pa.int32()))], names=["unit", "ids"])
+    def body(doc_ids: pa.Array, texts: list[str | None], ids: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(texts, pa.string()), list_of(ids)], names=["doc_id", "text", "ids"])
 
-    long = words.filter(F.length("unit") > LONG).select("unit").mapInArrow(run, "unit string, ids array<int>")
-    return found.unionByName(long)
+    return put_together(docs, pieces, body, f"doc_id {kind}, text string, ids array<int>")
 
 
-def vocabulary(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """Every different unit of the texts with its count, ids, checksum code, and whether its ids decode to it."""
-    words = cut(docs.select(F.explode(units(F.col("text"), pieces.plain)).alias("unit")).groupBy("unit").agg(F.count("*").alias("n")), "piece-units")
-    coded = words.join(encode_units(words, pieces), "unit")
-    code = F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: F.pmod(a * 31 + i + 1, F.lit(CODES)))
-    coded = cut(coded.withColumn("code", code), "piece-coded")
-    back = decode_arrays(coded.select("unit", "ids"), pieces, "unit")
-    return cut(coded.join(back.withColumnRenamed("text", "back"), "unit").withColumn("exact", F.col("back") == F.col("unit")).drop("back"), "piece-vocabulary")
+def speak(ids: bytes, spelled: list[bytes]) -> str:
+    """The text that ids spell; the space in front goes."""
+    raw = b"".join([spelled[i] for i in np.frombuffer(ids, np.int32).tolist()])
+    return raw.decode("utf-8", "replace").removeprefix(SPACE).replace(SPACE, " ")
 
 
-def decode_arrays(rows: DataFrame, pieces: Pieces, key: str) -> DataFrame:
-    """(key, ids) with different keys -> key and the text that the ids spell, in the model's form: ids are joined to pieces, whose bytes are put in order."""
-    spark = rows.sparkSession
-    raw = [(i, t.encode()) for t, i, _ in pieces.table] + [(i, bytes([b])) for b, i in enumerate(pieces.byte_ids)]
-    table = F.broadcast(spark.createDataFrame(raw, "id int, raw binary"))
-    each = rows.select(key, F.posexplode("ids").alias("pos", "id")).join(table, "id")
-    put = F.aggregate(F.sort_array(F.collect_list(F.struct("pos", F.hex("raw").alias("raw")))), F.lit(""), lambda a, x: F.concat(a, x["raw"]))
-    return each.groupBy(key).agg(F.decode(F.unhex(put), "UTF-8").alias("text"))
+def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
+    """(doc_id, ids) -> doc_id and the text that the ids spell; null ids spell the empty text."""
+    spelled = Pieces.load(path).spelled()
+    ship(encoded.sparkSession)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [speak(np.array(x or [], np.int32).tobytes(), spelled) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, text and ``ids`` of every document: the ids of its units, put together in order. A row is its own group, whatever its id."""
-    pieces = Pieces.load(path)
-    words = vocabulary(docs.select("text"), pieces).select("unit", "ids")
-    rows = cut(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "piece-rows")
-    each = rows.select("_row", F.posexplode(units(F.col("text"), pieces.plain)).alias("pos", "unit")).join(words, "unit")
-    ids = each.groupBy("_row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return rows.join(ids, "_row", "left").select("doc_id", "text", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, ids) -> doc_id and the text that the ids spell; the space in front goes."""
+def summary(docs: DataFrame, path: str = MODEL, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_pieces, ids_sha256 (of the ids as little-endian int32), and ``exact``: whether the ids, decoded, are the text (null: empty); ``ids`` too if asked for."""
     pieces = Pieces.load(path)
-    rows = cut(encoded.select("doc_id", "ids").withColumn("_row", F.monotonically_increasing_id()), "piece-ids")
-    back = decode_arrays(rows, pieces, "_row")
-    text = F.translate(F.regexp_replace("text", f"^{SPACE}", ""), SPACE, " ")
-    return rows.join(back, "_row", "left").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
-
+    spelled = pieces.spelled()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-def summary(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_units, n_pieces, checksum of the ids in order, and ``exact``: whether the ids decode to the text.
+    def body(doc_ids: pa.Array, texts: list[str | None], ids: list[bytes]) -> pa.RecordBatch:
+        columns = {"doc_id": doc_ids, "n_pieces": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())}
+        columns["exact"] = pa.array([speak(x, spelled) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())
+        if with_ids:
+            columns["ids"] = list_of(ids)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    The checksum adds, over the units, (hash of the unit's place) x (code of the unit's ids), so it needs no
-    array of a whole text and its sums are made where the rows are.
-    """
-    pieces = Pieces.load(path)
-    words = vocabulary(docs.select("text"), pieces).select("unit", "n", F.size("ids").cast("long").alias("pieces"), "code", "exact")
-    often = cut(words.filter(F.length("unit") <= SHORT).orderBy(F.col("n").desc(), "unit").limit(FREQUENT).drop("n"), "piece-frequent")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.posexplode_outer(units(F.col("text"), pieces.plain)).alias("pos", "unit"))
-    rows = rows.withColumn("weight", F.pmod(F.xxhash64("pos"), F.lit(PLACES)) + 1)
-    # Rows that repeat in id and text are counted at their first place; each is given back with its own share of the sums.
-    first = F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0)
-    sums = lambda df, times: df.groupBy("doc_id", "tie").agg(times.alias("times"), F.count("unit").alias("n_units"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum(F.col("weight") * F.col("code")), F.lit(0)).alias("checksum"), F.coalesce(F.bool_and("exact"), F.lit(True)).alias("exact"))
-    out = sums(rows.join(F.broadcast(often), "unit", "left").withColumn("unit", F.when(F.col("code").isNotNull(), F.col("unit"))), first)
-    rare = words.join(often.select("unit"), "unit", "left_anti").drop("n")
-    if not rare.isEmpty():
-        far = rows.filter("unit is not null").join(F.broadcast(often.select("unit")), "unit", "left_anti").join(rare, "unit")
-        out = out.unionByName(sums(far, F.lit(0).cast("long"))).groupBy("doc_id", "tie").agg(F.sum("times").alias("times"), F.sum("n_units").alias("n_units"), F.sum("n_pieces").alias("n_pieces"), F.sum("checksum").alias("checksum"), F.bool_and("exact").alias("exact"))
-    share = lambda c: F.expr(f"{c} div times").alias(c)
-    return out.select("doc_id", "tie", share("n_units"), share("n_pieces"), share("checksum"), "exact", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy")).drop("_copy")
+    return put_together(docs, pieces, body, f"doc_id {kind}, n_pieces long, ids_sha256 string, exact boolean" + ", ids array<int>" * with_ids)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return summary(docs).select("doc_id", "n_units", "n_pieces", "checksum", "exact")
+    return summary(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
