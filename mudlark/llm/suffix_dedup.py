@@ -9,7 +9,7 @@ two suffixes are compared through prefix polynomial hashes, a binary search for
 and the byte behind it. Neighbours with 400 bytes in common are repeated; their bytes are compared before that counts, and a
 hash collision makes the batch sort by bytes instead.
 
-Equal texts are one text with a count, so copies never meet in a group. An anchor hash with more than ``HOT``
+Equal texts, by SHA-256, are one text with a count, so copies never meet in a group. An anchor hash with more than ``HOT``
 different contexts is dealt out by window: each window's 128-bit digest is counted, map-side first, which decides the same
 question without a group in one task.
 
@@ -18,7 +18,8 @@ null doc_id is kept; ids that repeat are told apart by text; an empty table give
 cut into pieces that overlap by a window, so memory is bounded by ``PIECE``.
 
 The same method runs over words, ``WORDS``: a text is then the string of its words' 64-bit hashes, a window has 51 of
-them, and positions count words. White space between words makes no difference there.
+them, and positions count words. White space between words makes no difference there. A passage of over 50 words has
+fewer than 400 bytes as a rule, so ``op3_suffix`` tells in a column of its own how many words such passages cover.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudlark.llm.common import cut, ship, words
+from mudlark.llm.common import cut, ship
 
 LENGTH, GRAM, PIECE, HOT, BATCH, BROADCAST = 400, 128, 1 << 18, 512, 1 << 20, 1_000_000
 U = np.uint64
@@ -51,13 +52,14 @@ class Unit:
     def symbol(self) -> type:
         return np.uint8 if self.width == 1 else np.uint64
 
-    def raw(self, text: Column) -> Column:
-        if self.width == 1:
-            return F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))
-        return F.unhex(F.array_join(F.transform(words(text), lambda w: F.lpad(F.hex(F.xxhash64(w)), 16, "0")), ""))
+    def symbols(self, raw: np.ndarray) -> np.ndarray:
+        """What the bytes of a text are as symbols of this unit."""
+        return raw if self.width == 1 else word_hashes(raw)
 
 
 BYTES, WORDS = Unit(LENGTH, GRAM, 1), Unit(51, 16, 8)
+#: The bytes that part words.
+GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: The base is 3 modulo 8, so that powers of two divide differences of its powers as little as can be.
 BASE = 0x9E3779B97F4A7C13
 INVERSE = pow(BASE, -1, 2**64)
@@ -95,6 +97,34 @@ class Powers:
 POWERS = Powers()
 
 
+def word_hashes(raw: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """A 64-bit hash of each word: differences of prefix hashes, ``piece`` bytes at a time; longer words by digest."""
+    inside = np.concatenate([[False], ~GAPS[raw], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    low, high = edge[::2], edge[1::2]
+    out = np.empty(len(low), U)
+    at = 0
+    while at < len(low):
+        stop = max(at + 1, int(np.searchsorted(high, low[at] + piece, "right")))
+        a, b = low[at], high[stop - 1]
+        if b - a > piece:
+            out[at] = int.from_bytes(hashlib.blake2b(raw[a:b].tobytes(), digest_size=8).digest(), "little")
+        else:
+            sums = POWERS.prefixes(raw[a:b])
+            x, y = low[at:stop] - a, high[at:stop] - a
+            out[at:stop] = mix((sums[y] - sums[x]) * POWERS.down[x] + (y - x).astype(U) * U(0x9E3779B97F4A7C15))
+        at = stop
+    return out
+
+
+def text_bytes(text: Column) -> Column:
+    return F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))
+
+
+def digest_of(raw: Column) -> Column:
+    return F.unhex(F.sha2(raw, 256))
+
+
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """The anchor of each window start, and the hash of each k-gram."""
     sums = POWERS.prefixes(data)
@@ -125,27 +155,35 @@ def runs(raw: np.ndarray, length: int = LENGTH, piece: int = PIECE, gram: int =
     return (np.concatenate(lows), np.concatenate(places), np.concatenate(hashes)) if lows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
 
 
-def raw_texts(column: pa.Array, symbol: type = np.uint8) -> Iterator[np.ndarray]:
+def raw_texts(column: pa.Array) -> Iterator[np.ndarray]:
     for x in column:
-        yield np.frombuffer(x.as_buffer(), symbol) if x.is_valid and len(x.as_buffer()) else np.zeros(0, symbol)
+        yield np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid and len(x.as_buffer()) else np.zeros(0, np.uint8)
 
 
-def survey(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """One row a document: doc_id, digest, n_bytes, sha256 of the bytes, and its runs."""
+def survey(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
+    """One row a document: doc_id, digest (SHA-256 of the bytes), n_bytes, and for unit k its symbols n{k} and runs{k}."""
     ship(docs.sparkSession)
+    row = np.dtype([("hash", np.int64), ("low", np.int32), ("place", np.int32)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lows, places, hashes = zip(*(runs(raw, unit.length, gram=unit.gram) for raw in raw_texts(part.column("raw"), unit.symbol)), strict=True)
-                columns = [pa.array([x.view(np.int64) if x.dtype == U else x for x in c], pa.list_(t)) for c, t in ((hashes, pa.int64()), ([x.astype(np.int32) for x in lows], pa.int32()), ([x.astype(np.int32) for x in places], pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "digest", "n_bytes", "sha")] + columns, names=["doc_id", "digest", "n_bytes", "sha", "hashes", "lows", "places"])
-
-    rows = docs.select("doc_id", unit.raw(F.col("text")).alias("raw")).select("doc_id", F.unhex(F.md5("raw")).alias("digest"), F.expr(f"length(raw) div {unit.width}").alias("n_bytes"), F.unhex(F.sha2("raw", 256)).alias("sha"), "raw")
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    schema = rows.drop("raw").withColumn("hashes", none("bigint")).withColumn("lows", none("int")).withColumn("places", none("int")).schema
-    return rows.mapInArrow(run, schema)
+                columns = {c: part.column(c) for c in ("doc_id", "digest", "n_bytes")}
+                for k, unit in enumerate(units):
+                    texts = [unit.symbols(raw) for raw in raw_texts(part.column("raw"))]
+                    lows, places, hashes = zip(*(runs(x, unit.length, gram=unit.gram) for x in texts), strict=True)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lows])]).astype(np.int32))
+                    flat = [np.concatenate(hashes).view(np.int64), np.concatenate(lows).astype(np.int32), np.concatenate(places).astype(np.int32)]
+                    columns[f"n{k}"] = pa.array([len(x) for x in texts], pa.int64())
+                    columns[f"runs{k}"] = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in flat], names=list(row.names)))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("raw")).select("doc_id", digest_of(F.col("raw")).alias("digest"), F.length("raw").cast("long").alias("n_bytes"), "raw")
+    schema = rows.drop("raw")
+    for k in range(len(units)):
+        schema = schema.withColumn(f"n{k}", F.lit(0).cast("long")).withColumn(f"runs{k}", F.array().cast("array<struct<hash:bigint,low:int,place:int>>"))
+    return rows.mapInArrow(run, schema.schema)
 
 
 def extract(held: DataFrame, with_bytes: bool, unit: Unit = BYTES) -> DataFrame:
@@ -156,10 +194,10 @@ def extract(held: DataFrame, with_bytes: bool, unit: Unit = BYTES) -> DataFrame:
             out: list[tuple] = []
             size = 0
             for k in range(batch.num_rows):
-                node, raw = batch.column("node")[k].as_py(), batch.column("raw")[k].as_buffer()
+                node, raw = batch.column("node")[k].as_py(), memoryview(unit.symbols(next(raw_texts(batch.column("raw").slice(k, 1))))).cast("B")
                 for x in batch.column("asked")[k].as_py():
                     low, starts, offset, h = x["low"], x["starts"], x["offset"], x["hash"]
-                    context = raw[low * unit.width : (low + starts + unit.length - 1) * unit.width].to_pybytes()
+                    context = raw[low * unit.width : (low + starts + unit.length - 1) * unit.width].tobytes()
                     found = hashlib.blake2b(context, digest_size=16, key=b"%d.%d" % (offset, starts)).digest()
                     out.append((node, low, starts, offset, h, found, context if with_bytes else None))
                     size += len(context) if with_bytes else 64
@@ -342,22 +380,28 @@ def count_windows(contexts: DataFrame, unit: Unit = BYTES) -> DataFrame:
     return starts.select("context", first.alias("begins"), last.alias("ends"))
 
 
-def spans(docs: DataFrame, unit: Unit = BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The survey of all documents; nodes (one a text) with merged removed spans; the texts of nodes that lose a part."""
-    docs = docs.select("doc_id", "text")
-    ship(docs.sparkSession)
-    signed = cut(survey(docs, unit), "suffix-survey")
-    nodes = cut(
-        signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("sha").alias("sha"), F.first(F.struct("hashes", "lows", "places")).alias("runs")).withColumn("node", F.monotonically_increasing_id()),
-        "suffix-nodes",
-    )
-    run = F.posexplode(F.arrays_zip(F.col("runs.hashes").alias("hash"), F.col("runs.lows").alias("low"), F.col("runs.places").alias("place")))
-    every = nodes.select("node", "n_bytes", "runs.lows", run).select("node", F.col("col.hash").alias("hash"), F.col("col.low").alias("low"), F.col("col.place").alias("place"), (F.coalesce(F.get("lows", F.col("pos") + 1), F.col("n_bytes").cast("int") - unit.length + 1) - F.col("col.low")).alias("starts"))
-    twice = every.select("hash", F.xxhash64("node", "place").alias("spot")).groupBy("hash").agg(F.min("spot").alias("low"), F.max("spot").alias("high")).filter("low <> high").select("hash")
+def texts_once(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> tuple[DataFrame, DataFrame]:
+    """The survey of all documents, and its nodes: one a text, with its first id and number of copies."""
+    signed = cut(survey(docs.select("doc_id", "text"), units), "suffix-survey")
+    kept = [F.first(f"{c}{k}").alias(f"{c}{k}") for k in range(len(units)) for c in ("n", "runs")]
+    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), *kept)
+    return signed, cut(nodes.withColumn("node", F.monotonically_increasing_id()), "suffix-nodes")
+
+
+def spans(docs: DataFrame, nodes: DataFrame, unit: Unit = BYTES, k: int = 0) -> tuple[DataFrame, DataFrame]:
+    """For unit ``k`` of a survey: nodes with their removed ``pieces``, and the texts of nodes that may lose a part."""
+    docs, size = docs.select("doc_id", "text"), F.col(f"n{k}")
+    run = F.posexplode(f"runs{k}")
+    every = nodes.select("node", size.cast("int").alias("size"), F.col(f"runs{k}.low").alias("lows"), run)
+    every = every.select("node", "col.hash", "col.low", "col.place", (F.coalesce(F.get("lows", F.col("pos") + 1), F.col("size") - unit.length + 1) - F.col("col.low")).alias("starts"))
+    # A hash that occurs at two places. Written, so that the join below is of two shuffles and a hot hash can be split.
+    ends = [f(c).alias(f"{n}_{c}") for c in ("node", "place") for n, f in (("low", F.min), ("high", F.max))]
+    twice = cut(every.groupBy("hash").agg(*ends).filter("low_node <> high_node or low_place <> high_place").select("hash"), "suffix-twice")
     asked = F.struct("low", "starts", (F.col("place") - F.col("low")).alias("offset"), "hash").alias("run")
-    wanted = cut(every.join(twice, "hash").select("node", asked).groupBy("node").agg(F.collect_list("run").alias("asked")), "suffix-wanted")
+    wanted = cut(every.join(twice, "hash").select("node", asked), "suffix-asked")
+    wanted = cut(wanted.groupBy("node").agg(F.collect_list("run").alias("asked")), "suffix-wanted")
 
-    own = docs.select("doc_id", unit.raw(F.col("text")).alias("raw")).withColumn("digest", F.unhex(F.md5("raw")))
+    own = docs.select("doc_id", text_bytes(F.col("text")).alias("raw")).withColumn("digest", digest_of(F.col("raw")))
     ids = wanted.select("node").join(nodes.select("node", "first", "digest"), "node").select("node", F.col("first").alias("_first"), F.col("digest").alias("_digest"))
     held = own.join(F.broadcast(ids) if wanted.count() <= BROADCAST else ids, own["doc_id"].eqNullSafe(ids["_first"]) & (own["digest"] == ids["_digest"]))
     texts = cut(held.select("node", "raw").dropDuplicates(["node"]), "suffix-texts")
@@ -384,11 +428,11 @@ def spans(docs: DataFrame, unit: Unit = BYTES) -> tuple[DataFrame, DataFrame, Da
     found = cut(whole.unionByName(found.join(whole.select("context"), "context", "left_anti")), "suffix-found")
     pieces = seen.join(found, "context").select("node", F.explode(F.arrays_zip("begins", "ends")).alias("x"), "low")
     pieces = pieces.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((F.col("low") + F.col("x.begins")).alias("a"), (F.col("low") + F.col("x.ends") + unit.length).alias("b")))).alias("pieces"))
-    known = nodes.select("node", "digest", "first", "copies", "n_bytes", "sha").join(pieces, "node", "left")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= unit.length)
-    everything = F.array(F.struct(F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("b")))
+    known = nodes.select("node", "digest", "first", "copies", size.alias("n")).join(pieces, "node", "left")
+    gone = (F.col("copies") > 1) & (F.col("n") >= unit.length)
+    everything = F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b")))
     known = known.withColumn("pieces", F.when(gone, everything).otherwise(F.coalesce("pieces", F.array().cast("array<struct<a:int,b:int>>"))))
-    return signed, cut(known, "suffix-pieces"), texts
+    return cut(known, "suffix-pieces"), texts
 
 
 def merged(pieces: list[dict]) -> list[tuple[int, int]]:
@@ -408,9 +452,15 @@ def remains(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
-def results(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, digest, n_bytes, n_removed, n_spans, kept_sha256 of every document; ``kept``, what remains of a text that loses something."""
-    signed, known, texts = spans(docs)
+def results(docs: DataFrame, with_text: bool = False, with_words: bool = False) -> DataFrame:
+    """doc_id, digest, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+
+    With ``with_text`` also ``kept``, what remains of a text that loses something; with ``with_words`` also
+    ``n_passage_words``, the words in passages of ``WORDS.length`` words that also start elsewhere, which stay.
+    """
+    units = (BYTES, WORDS) if with_words else (BYTES,)
+    signed, nodes = texts_once(docs, units)
+    known, texts = spans(docs, nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"node": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
@@ -425,23 +475,33 @@ def results(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
     some = known.filter(F.size("pieces") > 0)
-    gone = some.filter((F.size("pieces") == 1) & (F.col("pieces")[0]["a"] == 0) & (F.col("pieces")[0]["b"] == F.col("n_bytes")))
+    gone = some.filter((F.size("pieces") == 1) & (F.col("pieces")[0]["a"] == 0) & (F.col("pieces")[0]["b"] == F.col("n")))
     part = some.join(gone.select("node"), "node", "left_anti").select("node", "pieces").join(texts, "node").mapInArrow(run, "node long, n_removed long, n_spans long, kept_sha256 string, kept string")
     nothing = hashlib.sha256(b"").hexdigest()
-    all_gone = gone.select("node", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), F.lit("").alias("kept"))
-    none = known.filter(F.size("pieces") == 0).select("node", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
+    all_gone = gone.select("node", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), F.lit("").alias("kept"))
+    none = known.filter(F.size("pieces") == 0).select("node", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("digest")).alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
     by_node = part.unionByName(all_gone).unionByName(none)
     if not with_text:
         by_node = by_node.drop("kept")
+    if with_words:
+        passages, _ = spans(docs, nodes, WORDS, 1)
+        by_node = by_node.join(passages.select("node", covered(F.col("pieces")).alias("n_passage_words")), "node")
     by_text = cut(known.select("node", "digest").join(by_node, "node").drop("node"), "suffix-results")
     return signed.select("doc_id", "digest", "n_bytes").join(by_text, "digest")
 
 
+def covered(pieces: Column) -> Column:
+    """How many symbols lie in sorted pieces, which may overlap."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+    step = lambda s, x: F.struct((s["n"] + F.greatest(x["b"] - F.greatest(x["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["b"]).alias("end"))
+    return F.aggregate(pieces, start, step, lambda s: s["n"])
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with removed bytes cut out of their texts; what is left of a cut character goes too. All columns stay; texts that lose all are empty."""
     names = docs.columns
     found = results(docs, with_text=True).filter("n_removed > 0").groupBy(F.col("digest").alias("_digest")).agg(F.first("kept").alias("_kept"))
-    held = docs.withColumn("_own", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    held = docs.withColumn("_own", digest_of(text_bytes(F.col("text"))))
     joined = held.join(found, held["_own"] == found["_digest"], "left")
     return joined.withColumn("text", F.coalesce("_kept", "text")).select(*names)
 
@@ -459,9 +519,10 @@ def without(text: str, removed: list[tuple[int, int]]) -> str:
 def dedup_words(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
     """The documents without the passages of ``unit.length`` words or more that also start somewhere else. All columns stay."""
     names = docs.columns
-    _, known, _ = spans(docs, unit)
+    _, nodes = texts_once(docs, (unit,))
+    known, _ = spans(docs, nodes, unit)
     some = known.filter(F.size("pieces") > 0).select(F.col("digest").alias("_digest"), F.col("pieces").alias("_pieces"))
-    held = docs.withColumn("_own", F.unhex(F.md5(unit.raw(F.col("text")))))
+    held = docs.withColumn("_own", digest_of(text_bytes(F.col("text"))))
     joined = held.join(some, held["_own"] == some["_digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,4 +536,4 @@ def dedup_words(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return results(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return results(docs, with_words=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")

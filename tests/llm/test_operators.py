@@ -101,6 +101,31 @@ def test_suffix_dedup(docs, empty, monkeypatch):
     out = suffix_dedup.dedup(docs)
     assert out.columns == docs.columns and out.count() == len(want)
     assert suffix_dedup.results(empty).count() == 0
+    # Words in passages of 51 words that also start elsewhere.
+    seen = Counter()
+    for _, t, *_ in corpus():
+        w = words_of(t)
+        seen.update(tuple(w[k : k + 51]) for k in range(len(w) - 50))
+    passages = []
+    for i, t, *_ in corpus():
+        w = words_of(t)
+        passages.append((i, len({k + j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(51)})))
+    both = suffix_dedup.results(docs, with_words=True)
+    assert sorted(map(tuple, both.select(columns).collect())) == sorted(want)
+    assert sorted(map(tuple, both.select("doc_id", "n_passage_words").collect())) == sorted(passages)
+
+
+def test_word_hashes():
+    texts = [" a  bb\ta\nbb ", "", " ", "x", "ä bb " + "y" * 500 + " a", "a"]
+    raw = lambda t: np.frombuffer(t.encode(), np.uint8)
+    by_word = {}
+    for t in texts:
+        for piece in (1 << 18, 100, 3):
+            h = suffix_dedup.word_hashes(raw(t), piece)
+            assert len(h) == len(words_of(t))
+            for w, x in zip(words_of(t), h.tolist(), strict=True):
+                by_word.setdefault((len(w.encode()) > piece, w), set()).add(x)
+    assert all(len(x) == 1 for x in by_word.values()) and len({min(x) for (far, _), x in by_word.items() if not far}) == 5
 
 
 def test_stage_cuts_passages_of_51_words(spark, monkeypatch):
@@ -402,24 +427,80 @@ def test_ranges_read_each_member_once(spark, tmp_path, monkeypatch):
     assert len(parts) > 5 and sorted(map(int, keys)) == list(range(200))
 
 
-def test_sentencepiece(docs, empty, monkeypatch):
-    pieces = sentencepiece_lattice.Pieces.load()
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """The model file with unigram as its type and scores like log-probabilities, on a grid that single precision sums exactly."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(sentencepiece_lattice.MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = 1
+    rng = random.Random(1)
+    plain = [p for p in m.pieces if p.type == 1]
+    for k, p in enumerate(plain):
+        p.score = -round(1024 * (3 + 9 * k / len(plain) + 2 * rng.random())) / 1024
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path), sentencepiece.SentencePieceProcessor(model_file=str(path))
+
+
+STRANGE = [(100, "x" * 900), (101, "ab" * 700 + " \U0001F600" * 3), (102, " a  b "), (103, "12_34 ²½ x²y"), (104, "trail "), (105, "\n\n")]
+
+
+def test_sentencepiece_is_the_library(spark, docs, empty, unigram, monkeypatch):
+    path, library = unigram
+    rows = [r for r in corpus() if len(r[1] or "") < 3000]
+    table = spark.createDataFrame([r[:2] for r in rows] + STRANGE, "doc_id long, text string")
+    want = Counter((i, t or "", tuple(library.encode(t or ""))) for i, t in [r[:2] for r in rows] + STRANGE)
+    for block, hot in ((256, 48 << 20), (7, 3000)):
+        monkeypatch.setattr(sentencepiece_lattice, "BLOCK", block)
+        monkeypatch.setattr(sentencepiece_lattice, "HOT_BYTES", hot)
+        assert Counter((r["doc_id"], r["text"] or "", tuple(r["ids"])) for r in sentencepiece_lattice.encode(table, path).collect()) == want
+    assert sentencepiece_lattice.encode(empty, path).count() == 0
+
+
+def best_sum(form, pieces):
+    """The largest sum of scores over all ways to cut a form, and the ids of one such way: plain dynamic programming."""
     known = {t: (i, s) for t, i, s in pieces.table}
-    rows = sentencepiece_lattice.encode(docs).collect()
-    assert len(rows) == docs.count()
-    for r in rows:
-        text = r["text"] or ""
-        form = "▁" + text.replace(" ", "▁") if text else ""
-        assert r["ids"] == sentencepiece_lattice.spell(form, sentencepiece_lattice.viterbi(form, known, pieces.longest, pieces.unknown), pieces.byte_ids)
-    back = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs)).collect()
-    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((i, t or "") for i, t, *_ in corpus())
-    short = sentencepiece_lattice.summary(docs).collect()
-    want = {r["doc_id"]: len(r["ids"]) for r in rows}
-    assert all(r["exact"] and r["n_pieces"] == want[r["doc_id"]] for r in short)
-    assert Counter(r["doc_id"] for r in short) == Counter(i for i, *_ in corpus())
-    monkeypatch.setattr(sentencepiece_lattice, "FREQUENT", 20)
-    assert Counter(map(tuple, sentencepiece_lattice.summary(docs).collect())) == Counter(map(tuple, short))
-    assert sentencepiece_lattice.encode(empty).count() == 0 and sentencepiece_lattice.summary(empty).count() == 0
+    best = [(0, [])]
+    for end in range(1, len(form) + 1):
+        here = None
+        for start in range(max(0, end - pieces.longest), end):
+            i, s = known.get(form[start:end], (None, None))
+            if i is None and end - start > 1:
+                continue
+            total = best[start][0] + (pieces.unknown if i is None else s)
+            if here is None or total > here[0]:
+                here = (total, best[start][1] + ([i] if i is not None else [pieces.byte_ids[b] for b in form[start:end].encode()]))
+        best.append(here)
+    return best[-1][1]
+
+
+def test_sentencepiece(spark, docs, empty):
+    pieces = sentencepiece_lattice.Pieces.load()
+    texts = [r[:2] for r in corpus() if len(r[1] or "") < 3000] + STRANGE
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = sentencepiece_lattice.encode(table).persist()
+    want = Counter((i, t, tuple(best_sum("▁" + t.replace(" ", "▁"), pieces)) if t else ()) for i, t in texts)
+    assert Counter((r["doc_id"], r["text"], tuple(r["ids"])) for r in rows.collect()) == want
+    assert Counter(map(tuple, sentencepiece_lattice.decode(rows).collect())) == Counter((i, t or "") for i, t in texts)
+    short = sentencepiece_lattice.summary(table, with_ids=True).collect()
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in short) == Counter((i, ids) for i, _, ids in want.elements())
+    assert all(r["exact"] and r["n_pieces"] == len(r["ids"]) and r["ids_sha256"] == hashlib.sha256(np.array(r["ids"], np.int32).tobytes()).hexdigest() for r in short)
+    odd = spark.createDataFrame([(None, "a▁b"), (1, "a b")], "doc_id long, text string")
+    assert {r["doc_id"]: r["exact"] for r in sentencepiece_lattice.summary(odd).collect()} == {None: False, 1: True}
+    whole = sentencepiece_lattice.summary(docs)
+    assert Counter(r["doc_id"] for r in whole.collect()) == Counter(i for i, *_ in corpus()) and whole.filter("exact").count() == len(corpus())
+    assert sentencepiece_lattice.summary(empty).count() == 0
+
+
+def test_units_are_the_form():
+    for t in [t for _, t, *_ in corpus() if t] + [t for _, t in STRANGE]:
+        for cut in ("letters", "words", "texts"):
+            into, apart = sentencepiece_lattice.splitter(cut)
+            assert "".join(u for c in into(t) for u in apart(c)) == "▁" + t.replace(" ", "▁")
 
 
 def test_chat(spark):
