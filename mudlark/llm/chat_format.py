@@ -27,6 +27,8 @@ SCHEMAS = {
         "style": {"type": "string", "one_of": ["plain", "long"]},
     },
 }
+#: The columns that :func:`link` adds.
+ADDED = ("level", "deps", "missing", "problems", "valid", "message", "result_turn", "n_results", "_found", "_found_id")
 #: What a variant calls its types.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT<.*", "array": "ARRAY<.*"}
 
@@ -69,19 +71,22 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.when(out.rlike(r"[\x00-\x1F]"), rare).otherwise(out), F.lit('"'))
 
 
-def levels(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(id, dep) without repeats -> id, level of every id that depends on something; a null level is a cycle."""
+def levels(edges: DataFrame) -> DataFrame:
+    """(id, dep) without repeats -> id, level of every id that depends on something; a null level is a cycle or behind one."""
     edges = cut(edges, "chat-edges")
     if edges.isEmpty():
         return edges.select("id", F.lit(0).cast("long").alias("level"))
     if edges.groupBy("id").count().filter("count > 1").isEmpty():
         state = edges.select("id", F.col("dep").alias("up"), F.lit(1).cast("long").alias("level"))
-        for _ in range(most):
+        open_ = None
+        while True:
             above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("more"))
             state = cut(state.join(above, "up", "left").select("id", F.col("up2").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "chat-levels")
-            if state.filter("up is not null").isEmpty():
-                break
-        return state.select("id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+            # A round ends the chains of up to twice the length. Chains have parts of every length, so once a round ends
+            # none, all that is left goes round in cycles; a level is below four times the number of ids until then.
+            before, open_ = open_, state.filter("up is not null").count()
+            if open_ in (0, before):
+                return state.select("id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
     # Peeling: an id is ready once all it depends on have levels.
     done = None
     left = edges
@@ -102,26 +107,32 @@ def levels(edges: DataFrame, most: int = 64) -> DataFrame:
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """Calls (id, name, arguments, depends_on, turn and any others) with results (id, content, turn).
 
-    Adds result_turn, n_results, level, missing (dependencies without a call), valid, problems and ``message``.
+    Adds ``ADDED``: level, deps (dependencies that are calls), missing (how many aren't), problems, valid, message,
+    result_turn and n_results. A call's own column of such a name is dropped, whatever its letters' case.
     """
-    first = results.filter("id is not null").groupBy("id").agg(F.min(F.struct("turn", "content")).alias("result"), F.count("*").alias("n_results"))
+    calls = calls.select(*[c for c in calls.columns if c.lower() not in ADDED])
+    first = results.filter("id is not null").groupBy("id").agg(F.min(F.struct("turn", "content")).alias("_result"), F.count("*").alias("n_results"))
     ids = calls.filter("id is not null").select("id").distinct()
     asked = calls.filter("id is not null").select("id", F.explode("depends_on").alias("dep")).distinct()
     edges = asked.join(ids.select(F.col("id").alias("dep")), "dep").select("id", "dep")
-    ranks = levels(edges)
+    ranks = levels(edges).withColumn("_ranked", F.lit(True))
     kept = edges.groupBy("id").agg(F.sort_array(F.collect_set("dep")).alias("deps"))
-    out = calls.join(first, "id", "left").join(ranks.withColumn("_ranked", F.lit(True)), "id", "left").join(kept, "id", "left")
-    out = out.withColumn("level", F.when(F.col("_ranked"), F.col("level")).otherwise(F.lit(0).cast("long"))).drop("_ranked")
-    out = out.withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+    found = calls.select("id").distinct().join(first, "id", "left").join(ranks, "id", "left").join(kept, "id", "left").filter("id is not null")
+    found = found.select(F.struct(*found.columns).alias("_found"), F.col("id").alias("_found_id"))
+    of = lambda c: F.col(f"_found.{c}")
+    out = calls.join(found, calls["id"] == found["_found_id"], "left").drop("_found_id")
+    out = out.withColumn("level", F.when(of("_ranked"), of("level")).otherwise(F.lit(0).cast("long")))
+    out = out.withColumn("deps", F.coalesce(of("deps"), F.array().cast("array<string>")))
     out = out.withColumn("missing", (F.size(F.array_distinct(F.coalesce("depends_on", F.array().cast("array<string>")))) - F.size("deps")).cast("long"))
     parsed = F.try_parse_json("arguments")
     out = out.withColumn("problems", problems(F.col("name"), parsed, schemas)).withColumn("valid", F.size("problems") == 0)
     text = lambda c: F.coalesce(quoted(c), F.lit("null"))
     arguments = F.when(parsed.isNotNull(), F.to_json(parsed)).otherwise(text(F.col("arguments")))
-    result = F.when(F.col("result").isNull(), F.lit("null")).otherwise(F.concat(F.lit('{"content":'), text(F.col("result.content")), F.lit(',"turn":'), F.coalesce(F.col("result.turn").cast("string"), F.lit("null")), F.lit("}")))
+    said = of("_result")
+    result = F.when(said.isNull(), F.lit("null")).otherwise(F.concat(F.lit('{"content":'), text(said["content"]), F.lit(',"turn":'), F.coalesce(said["turn"].cast("string"), F.lit("null")), F.lit("}")))
     deps = F.concat(F.lit("["), F.array_join(F.transform("deps", quoted), ","), F.lit("]"))
     message = F.concat(F.lit('{"arguments":'), arguments, F.lit(',"depends_on":'), deps, F.lit(',"id":'), text(F.col("id")), F.lit(',"name":'), text(F.col("name")), F.lit(',"result":'), result, F.lit(',"type":"tool_call"}'))
-    return out.withColumn("message", message).withColumn("result_turn", F.col("result.turn")).withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long"))).drop("result")
+    return out.withColumn("message", message).withColumn("result_turn", said["turn"]).withColumn("n_results", F.coalesce(of("n_results"), F.lit(0).cast("long"))).drop("_found")
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -524,8 +524,16 @@ def test_chat(spark):
     assert got["d"]["problems"] == ["unknown tool"] and got["e"]["problems"] == ["prompt: missing"]
     chain = spark.createDataFrame([(str(i), str(i - 1)) for i in range(1, 300)], "id string, dep string")
     assert {int(r["id"]): r["level"] for r in chat_format.levels(chain).collect()} == {i: i for i in range(1, 300)}
-    ring = spark.createDataFrame([("1", "2"), ("2", "1"), ("3", "1")], "id string, dep string")
-    assert {r["level"] for r in chat_format.levels(ring, 6).collect()} == {None}
+    ring = [(str(i), str((i + 1) % 50)) for i in range(50)] + [("x", "3"), ("self", "self"), ("y", "self"), ("a1", "a0"), ("a2", "a1")]
+    got = {r["id"]: r["level"] for r in chat_format.levels(spark.createDataFrame(ring, "id string, dep string")).collect()}
+    assert got == {i: {"a1": 1, "a2": 2}.get(i) for i, _ in ring}
+    several = [("a", "b"), ("a", "c"), ("b", "c"), ("r", "r"), ("q", "r"), ("q", "a")]
+    got = {r["id"]: r["level"] for r in chat_format.levels(spark.createDataFrame(several, "id string, dep string")).collect()}
+    assert got == {"a": 2, "b": 1, "r": None, "q": None}
+    clash = "id string, name string, arguments string, depends_on array<string>, turn long, Level string, deps string, result string, n_results int, content string, dep long"
+    rows = [("a", "reply", "{}", None, 1, "k", "k", "k", 7, "k", 1), ("a", "reply", "{}", [], 1, "k", "k", "k", 7, "k", 1), ("b", "reply", "{}", ["a"], 2, "k", "k", "k", 7, "k", 2)]
+    out = chat_format.link(spark.createDataFrame(rows, clash), spark.createDataFrame([("b", "x", 3)], "id string, content string, turn long"))
+    assert sorted((r["id"], r["level"], r["deps"], r["result"], r["n_results"], r["content"], r["dep"]) for r in out.collect()) == [("a", 0, [], "k", 0, "k", 1)] * 2 + [("b", 1, ["a"], "k", 1, "k", 2)]
     nothing = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.link(*chat_format.from_turns(nothing)).count() == 0
 
