@@ -3,7 +3,10 @@
 A document is described by two histograms: its characters by class, and its words by membership in a fixed
 list of common words. The reference of a language is the sum of the histograms of all its documents that pass
 the count rules. A document is dropped when the Jensen-Shannon distance (base 2, so between 0 and 1) of
-either histogram to the reference passes a limit, unless it is too short to be judged by that histogram.
+either histogram to the reference passes a limit, unless it is too short to be judged by that histogram. The limit
+of the words comes from the reference: it is the distance ``d`` of a document without any common word, times
+``0.75 + 0.25 * sqrt(word_least / n_words)``, for the distances of few words spread more. A reference with less than
+``COMMON_LEAST`` of common words judges no words.
 
 Edge cases: a null or empty text has no words and so fails the count rules; a null or unlisted language is
 held against the pooled reference of all documents; a language without any passing document too; a row's
@@ -12,6 +15,8 @@ verdict depends on that row and the references only, so repeated rows agree; an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,7 @@ COMMON = (
 COMMON = list(dict.fromkeys(COMMON))
 #: Languages with a reference of their own; the number of references is bounded by this list.
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "sv", "pl", "ru", "zh", "ja")
+COMMON_LEAST = 0.05
 #: Character classes, as patterns of what is not in the class.
 CLASSES = {
     "lower": r"[^\p{Ll}]+",
@@ -87,9 +93,9 @@ def histograms(docs: DataFrame) -> DataFrame:
     # Each common word becomes one character, so a histogram is a few passes over a short string.
     codes = F.array(*[F.lit(chr(0x100 + i)) for i in range(len(COMMON))])
     known = F.array(*[F.lit(w) for w in COMMON])
-    # Longer words can't be common; most words are ruled out by their length.
-    longest = max(map(len, COMMON))
-    coded = F.array_join(F.transform(F.filter(F.transform(F.filter("_words", lambda w: F.length(w) <= longest), lambda w: F.array_position(known, F.lower(w)).cast("int")), lambda i: i > 0), lambda i: F.element_at(codes, i)), "")
+    # A set decides whether a word is common; only those that are get looked for in the list.
+    common = F.filter(F.transform("_words", F.lower), lambda w: w.isin(*COMMON))
+    coded = F.array_join(F.transform(common, lambda w: F.element_at(codes, F.array_position(known, w).cast("int"))), "")
     out = out.withColumn("_coded", coded)
     each = [(F.length("_coded") - F.length(F.replace("_coded", F.lit(chr(0x100 + i)), F.lit("")))).cast("int") for i in range(len(COMMON))]
     out = out.withColumn("commons", F.concat(F.array(*each), F.array((F.col("n_words") - F.length("_coded")).cast("int"))))
@@ -114,7 +120,19 @@ def references(features: DataFrame) -> dict[str | None, dict[str, list[float]]]:
     return found
 
 
-def judge(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.6, char_least: int = 200, word_least: int = 50) -> DataFrame:
+def word_limits(known: dict) -> dict[str | None, float | None]:
+    """For each reference the word distance of a document without common words; None where it has too few itself."""
+    found: dict[str | None, float | None] = {}
+    for lang, dists in known.items():
+        q = dists.get("commons")
+        if q is not None:
+            p = [0.0] * (len(q) - 1) + [1.0]
+            part = sum(a * math.log2(2 * a / (a + b)) if a else 0.0 for a, b in zip(p, q, strict=True)) + sum(b * math.log2(2 * b / (a + b)) if b else 0.0 for a, b in zip(p, q, strict=True))
+            found[lang] = math.sqrt(part / 2) if 1 - q[-1] >= COMMON_LEAST else None
+    return found
+
+
+def judge(docs: DataFrame, char_limit: float = 0.25, char_least: int = 200, word_least: int = 75) -> DataFrame:
     """doc_id and all columns of the rules: counts, ``char_distance``, ``word_distance``, base_failed and kept.
 
     ``char_least`` characters in words and ``word_least`` words are the guards: below them a histogram is
@@ -124,7 +142,13 @@ def judge(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.6, ch
     known = references(features)
     which = lambda name: _by_language(known, name)
     out = features.withColumn("char_distance", which("chars")).withColumn("word_distance", which("commons"))
-    odd = ((F.col("word_chars") >= char_least) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= word_least) & (F.col("word_distance") > word_limit))
+    limits = word_limits(known)
+    top = F.lit(limits[None]).cast("double")
+    for lang, at in limits.items():
+        if lang is not None:
+            top = F.when(F.col("lang") == lang, F.lit(at).cast("double")).otherwise(top)
+    far = F.col("word_distance") > top * (0.75 + 0.25 * F.sqrt(F.lit(float(word_least)) / F.greatest("n_words", F.lit(1))))
+    odd = ((F.col("word_chars") >= char_least) & (F.col("char_distance") > char_limit)) | ((F.col("n_words") >= word_least) & F.coalesce(far, F.lit(False)))
     kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
     return out.withColumn("kept", kept).drop("chars", "commons")
 

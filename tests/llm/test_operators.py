@@ -220,6 +220,45 @@ def test_quality(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_verdicts(spark):
+    """All verdicts against a plain version; other languages, word salad and junk go, all else stays."""
+    rng = random.Random(9)
+    own = {"en": "the of and to in that was for".split(), "de": "der die und den von das mit nicht".split()}
+    other = {x: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(400)] for x in own}
+    prose = lambda x, n: " ".join(rng.choice(own[x]) if rng.random() < 0.4 else rng.choice(other[x]) for _ in range(n))
+    rows = [(i, prose("en" if i % 2 else "de", rng.randint(60, 400)), "en" if i % 2 else "de") for i in range(200)]
+    rows += [(1000 + i, prose("de", 300), "en") for i in range(5)] + [(1100 + i, " ".join(rng.choice(other["en"]) for _ in range(300)), "en") for i in range(5)]
+    rows += [(1200, "### 12345 @@@@ 77777 ~~~~ " * 40 + prose("en", 60), "en"), (1201, prose("en", 300), "xx"), (1202, prose("de", 60), "en"), (1203, None, None)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    def counts(t):
+        t = t or ""
+        chars = [len(re.sub(p.replace(r"\p{Ll}", "a-z").replace(r"\p{Lu}", "A-Z").replace(r"\p{Nd}", "0-9"), "", t)) for p in quality.CLASSES.values()]
+        words = [w.lower() for w in words_of(t)]
+        commons = [words.count(c) for c in quality.COMMON]
+        return [*chars, len(t) - sum(chars)], [*commons, len(words) - sum(commons)]
+
+    def distance(p, q):
+        a, b = np.array(p) / sum(p), np.array(q)
+        m = (a + b) / 2
+        kl = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m, strict=True) if v)
+        return np.sqrt(max(0, (kl(a) + kl(b)) / 2))
+
+    both = {i: counts(t) for i, t, _ in rows}
+    good = [(i, lang) for i, _, lang in rows if not got[i]["base_failed"]]
+    share = lambda ids, k: np.sum([both[i][k] for i in ids], 0) / np.sum([both[i][k] for i in ids])
+    pooled = [share([i for i, _ in good], k) for k in (0, 1)]
+    known = {x: [share([i for i, lang in good if lang == x], k) for k in (0, 1)] for x in own}
+    for i, t, lang in rows:
+        chars, commons = known.get(lang, pooled)
+        n = len(words_of(t))
+        top = distance([0] * len(quality.COMMON) + [1], commons) * (0.75 + 0.25 * np.sqrt(75 / max(1, n)))
+        odd = got[i]["word_chars"] >= 200 and distance(both[i][0], chars) > 0.25 or n >= 75 and distance(both[i][1], commons) > top
+        assert got[i]["kept"] == (not got[i]["base_failed"] and not odd), i
+    gone = {i for i, r in got.items() if not r["kept"]}
+    assert gone == {*range(1000, 1005), *range(1100, 1105), 1200, 1203}
+
+
 def test_divergence(spark):
     p, q = [3, 0, 5], [0.5, 0.25, 0.25]
     got = spark.createDataFrame([(p,)], "c array<int>").select(quality._distance(F.col("c"), F.array(*[F.lit(x) for x in q])).alias("d")).first()["d"]
