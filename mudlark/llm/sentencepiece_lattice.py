@@ -40,15 +40,17 @@ from mudlark.llm.common import cut, forget, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Ends that a fold goes over at a time; different texts that a task counts or remembers at a time; units of a task.
-BLOCK, HELD, TASK = 256, 300_000, 25_000
-#: Bytes of units and ids that are broadcast, as Python holds them.
-HOT_BYTES = 48 << 20
+#: Ends that a fold goes over at a time; words that a task counts at a time, and whose ids it remembers; units of a task.
+BLOCK, COUNTED, HELD, TASK = 256, 800_000, 400_000, 25_000
+#: Bytes of units and ids that are broadcast, as Python holds them; ids that are spelled at a time.
+HOT_BYTES, SPELLED = 80 << 20, 1 << 18
 #: Characters at the end of a substring by which the length of its pieces is bounded.
 TAIL = 3
 #: An edge as a long: fixed-point score, 22 bits of id (or UNKNOWN and the code point), 8 bits of length.
 UNKNOWN = 1 << 21
-LETTERS = re.compile(rf"{SPACE}*(?:[^\W\d_]+|(?:[\d_]|[^\w{SPACE}])+)|{SPACE}+")
+#: Characters of two bytes that a pattern's word class has besides letters, decimal digits and the low line.
+NUMBERS = "".join(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(0xD800)))) if not c.isalpha())
+LETTERS = re.compile(rf"{SPACE}*(?:[^\W\d_{NUMBERS}]+|(?:[\d_{NUMBERS}]|[^\w{SPACE}])+)|{SPACE}+")
 WORDS = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -80,26 +82,32 @@ class Pieces:
         plain = all(len(LETTERS.findall(t)) == 1 for t in texts.values())
         return cls([(t, i, round(scores[i] * scale)) for i, t in texts.items()], longest, round(unknown * scale), byte_ids, "texts" if crosses else "letters" if plain else "words")
 
-    def spelled(self) -> list[bytes]:
-        """The bytes of each id."""
-        known = {i: t.encode() for t, i, _ in self.table} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
-        return [known.get(i, b"") for i in range(max(known) + 1)]
+    def voice(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes that ids spell, one after another, and where those of each id start and how many they are."""
+        known = {i: t.replace(SPACE, " ").encode() for t, i, _ in self.table} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        raw = [known.get(i, b"") for i in range(max(known) + 1)]
+        sizes = np.array([len(x) for x in raw], np.int64)
+        return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
-def chunks(text: str | None) -> list[str]:
-    """The text in the model's form, cut before each run of U+2581."""
+def words_of(text: str | None) -> list[str]:
+    """The text cut at its spaces. Where two spaces meet, one is in front, or a U+2581 is in it: its form cut before each run of U+2581."""
     if not text:
         return []
     if text[0] == " " or "  " in text or SPACE in text:
         return WORDS.findall(SPACE + text.replace(" ", SPACE))
-    return f"{SPACE}{text.replace(' ', f' {SPACE}')}".split(" ")
+    return text.split(" ")
 
 
 def splitter(cut: str) -> tuple[Callable[[str | None], list[str]], Callable[[str], list[str]]]:
-    """How to cut a text into chunks, and a chunk into units; put together in order they are the model's form."""
+    """How to cut a text into words, and a word into units; put together in order they are the model's form."""
     if cut == "texts":
-        return lambda t: [SPACE + t.replace(" ", SPACE)] if t else [], lambda c: [c]
-    return chunks, LETTERS.findall if cut == "letters" else lambda c: [c]
+        return lambda t: [SPACE + t.replace(" ", SPACE)] if t else [], lambda w: [w]
+    formed = lambda w: w if w.startswith(SPACE) else SPACE + w
+    if cut == "words":
+        return words_of, lambda w: [formed(w)]
+    # Letters alone are one unit; the pattern would find the same.
+    return words_of, lambda w: [SPACE + w] if w.isalpha() else LETTERS.findall(formed(w))
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text", rows: int = 256) -> Iterator[tuple[int, list[str | None]]]:
@@ -108,7 +116,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text", rows: int = 256) -> It
 
 
 def count_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """Every different unit of the texts and its number. A task counts ``HELD`` chunks at a time before it shuffles."""
+    """Every different unit of the texts and its number. A task counts ``COUNTED`` words at a time before it shuffles."""
     how = pieces.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +125,8 @@ def count_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
-            for c, n in seen.items():
-                for u in apart(c):
+            for w, n in seen.items():
+                for u in apart(w):
                     found[u] += n
             seen.clear()
             units, times = list(found), list(found.values())
@@ -129,7 +137,7 @@ def count_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
             for _, texts in texts_of(batch):
                 for t in texts:
                     seen.update(into(t))
-                if len(seen) > HELD:
+                if len(seen) > COUNTED:
                     yield from flush()
         yield from flush()
 
@@ -282,33 +290,35 @@ def frequent(words: DataFrame, most: int | None = None) -> int:
 
 
 class Encoder:
-    """The documents' side: known units with their ids as bytes of int32, and what chunks they make."""
+    """The documents' side: known units with their ids as bytes of int32, and the words that they alone make."""
 
     def __init__(self, how: str, hot: dict[str, bytes]):
         self.into, self.apart = splitter(how)
         self.hot, self.known = hot, {}
 
-    def chunk(self, c: str) -> bytes | None:
-        """The ids of a chunk; None if a unit of it isn't broadcast."""
-        ids = [self.hot.get(u) for u in self.apart(c)]
+    def word(self, w: str) -> bytes | None:
+        """The ids of a word; None if a unit of it isn't broadcast."""
+        ids = list(map(self.hot.get, self.apart(w)))
         if None in ids:
             return None
         if len(self.known) >= HELD:
             self.known.clear()
-        found = self.known[c] = b"".join(ids)
+        found = self.known[w] = b"".join(ids)
         return found
 
     def rare(self, text: str | None) -> set[str]:
         """The units of a text that aren't broadcast."""
-        return {u for c in set(self.into(text)) if c not in self.known and self.chunk(c) is None for u in self.apart(c) if u not in self.hot}
+        known, hot = self.known, self.hot
+        return {u for w in set(self.into(text)) if w not in known and self.word(w) is None for u in self.apart(w) if u not in hot}
 
     def encode(self, text: str | None, own: dict[str, bytes]) -> bytes:
-        parts = self.into(text)
-        ids = list(map(self.known.get, parts))
-        for k, x in enumerate(ids):
-            if x is None:
-                x = self.chunk(parts[k])
-                ids[k] = b"".join(self.hot.get(u) or own[u] for u in self.apart(parts[k])) if x is None else x
+        words = self.into(text)
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            for k, x in enumerate(ids):
+                if x is None:
+                    x = self.word(words[k])
+                    ids[k] = b"".join([self.hot.get(u) or own[u] for u in self.apart(words[k])]) if x is None else x
         return b"".join(ids)
 
 
@@ -354,6 +364,7 @@ def put_together(docs: DataFrame, pieces: Pieces, body: Callable, schema: str) -
     # Documents whose keys are equal by chance only share their lists: ids hang on units alone.
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     sent = cut(keyed.select("key", "text").mapInArrow(find, "key long, unit string").join(rest, "unit"), "piece-sent")
+    forget(spark, words)
     lists = sent.groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("own"))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -398,22 +409,32 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     return put_together(docs, pieces, body, f"doc_id {kind}, text string, ids array<int>")
 
 
-def speak(ids: bytes, spelled: list[bytes]) -> str:
-    """The text that ids spell; the space in front goes."""
-    raw = b"".join([spelled[i] for i in np.frombuffer(ids, np.int32).tolist()])
-    return raw.decode("utf-8", "replace").removeprefix(SPACE).replace(SPACE, " ")
+def speak(ids: list[bytes], voice: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[str]:
+    """The texts that lists of ids spell; the space in front of each goes."""
+    raw, start, size = voice
+    flat = np.frombuffer(b"".join(ids), np.int32)
+    parts = []
+    for a in range(0, len(flat), SPELLED):
+        x = flat[a : a + SPELLED]
+        n = size[x]
+        parts.append(raw[np.repeat(start[x] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
+    whole = b"".join(parts)
+    ends = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int64)]
+    return [whole[a + (whole[a : a + 1] == b" ") : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, ids) -> doc_id and the text that the ids spell; null ids spell the empty text."""
-    spelled = Pieces.load(path).spelled()
+    voice = Pieces.load(path).voice()
     ship(encoded.sparkSession)
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [speak(np.array(x or [], np.int32).tobytes(), spelled) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = speak([np.array(x or [], np.int32).tobytes() for x in part.column("ids").to_pylist()], voice)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
 
@@ -421,12 +442,12 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
 def summary(docs: DataFrame, path: str = MODEL, with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as little-endian int32), and ``exact``: whether the ids, decoded, are the text (null: empty); ``ids`` too if asked for."""
     pieces = Pieces.load(path)
-    spelled = pieces.spelled()
+    voice = pieces.voice()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def body(doc_ids: pa.Array, texts: list[str | None], ids: list[bytes]) -> pa.RecordBatch:
         columns = {"doc_id": doc_ids, "n_pieces": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())}
-        columns["exact"] = pa.array([speak(x, spelled) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())
+        columns["exact"] = pa.array([x == (t or "") for x, t in zip(speak(ids, voice), texts, strict=True)], pa.bool_())
         if with_ids:
             columns["ids"] = list_of(ids)
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

@@ -539,7 +539,8 @@ def test_units_are_the_form():
     for t in [t for _, t, *_ in corpus() if t] + [t for _, t in STRANGE]:
         for cut in ("letters", "words", "texts"):
             into, apart = sentencepiece_lattice.splitter(cut)
-            assert "".join(u for c in into(t) for u in apart(c)) == "▁" + t.replace(" ", "▁")
+            assert "".join(u for w in into(t) for u in apart(w)) == "▁" + t.replace(" ", "▁")
+    assert sentencepiece_lattice.Pieces.load().cut == "letters"
 
 
 def test_chat(spark):
