@@ -10,8 +10,9 @@ and the byte behind it. Neighbours with 400 bytes in common are repeated; their
 hash collision makes the batch sort by bytes instead.
 
 Equal texts, by SHA-256, are one text with a count, so copies never meet in a group. An anchor hash with more than ``HOT``
-different contexts is dealt out by window: each window's 128-bit digest is counted, map-side first, which decides the same
-question without a group in one task.
+different contexts is split first: the windows' distances to the anchor are halved, what all windows of a half have in
+common is digested with each context, and only contexts that share it stay together; so on until a group is small enough
+to be sorted, or a half is one distance, where the digest is that of the whole window.
 
 Edge cases: a null or shorter text than 400 bytes loses nothing; a text with copies loses everything; a
 null doc_id is kept; ids that repeat are told apart by text; an empty table gives an empty result. A long text is
@@ -28,6 +29,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -163,7 +165,10 @@ def raw_texts(column: pa.Array) -> Iterator[np.ndarray]:
 def survey(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
     """One row a document: doc_id, digest (SHA-256 of the bytes), n_bytes, and for unit k its symbols n{k} and runs{k}."""
     ship(docs.sparkSession)
-    row = np.dtype([("hash", np.int64), ("low", np.int32), ("place", np.int32)])
+
+    def starts_of(lows: tuple[np.ndarray, ...], sizes: list[int], length: int) -> np.ndarray:
+        """How many window starts each run has: up to the next run, or to the text's last window."""
+        return np.concatenate([np.diff(np.append(x, max(n - length + 1, 0))) for x, n in zip(lows, sizes, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,15 +179,16 @@ def survey(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
                     texts = [unit.symbols(raw) for raw in raw_texts(part.column("raw"))]
                     lows, places, hashes = zip(*(runs(x, unit.length, gram=unit.gram) for x in texts), strict=True)
                     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lows])]).astype(np.int32))
-                    flat = [np.concatenate(hashes).view(np.int64), np.concatenate(lows).astype(np.int32), np.concatenate(places).astype(np.int32)]
+                    ints = [x.astype(np.int32) for x in (np.concatenate(lows), np.concatenate(places), starts_of(lows, [len(x) for x in texts], unit.length))]
+                    flat = [np.concatenate(hashes).view(np.int64), *ints]
                     columns[f"n{k}"] = pa.array([len(x) for x in texts], pa.int64())
-                    columns[f"runs{k}"] = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in flat], names=list(row.names)))
+                    columns[f"runs{k}"] = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["hash", "low", "place", "starts"]))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = docs.select("doc_id", text_bytes(F.col("text")).alias("raw")).select("doc_id", digest_of(F.col("raw")).alias("digest"), F.length("raw").cast("long").alias("n_bytes"), "raw")
     schema = rows.drop("raw")
     for k in range(len(units)):
-        schema = schema.withColumn(f"n{k}", F.lit(0).cast("long")).withColumn(f"runs{k}", F.array().cast("array<struct<hash:bigint,low:int,place:int>>"))
+        schema = schema.withColumn(f"n{k}", F.lit(0).cast("long")).withColumn(f"runs{k}", F.array().cast("array<struct<hash:bigint,low:int,place:int,starts:int>>"))
     return rows.mapInArrow(run, schema.schema)
 
 
@@ -334,11 +340,12 @@ def ranges(flag: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def sort_groups(contexts: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """(hash, context, offset, starts, bytes), grouped by hash in partitions -> context and its repeated starts."""
+    """(hash, context, skip, offset, starts, bytes), grouped by hash in partitions -> context and its repeated starts."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
+        # Contexts may be parts of contexts; ``skip`` starts go before them.
         flags = repeated([r[4] for r in rows], [r[2] for r in rows], [r[3] for r in rows], list(np.unique([r[0] for r in rows], return_inverse=True)[1]), unit.length, unit.symbol)
-        found = [(r[1], *ranges(f)) for r, f in zip(rows, flags, strict=True) if f.any()]
+        found = [(r[1], *([x + r[5] for x in ends] for ends in ranges(f))) for r, f in zip(rows, flags, strict=True) if f.any()]
         columns = list(zip(*found, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.int32()))], names=["context", "begins", "ends"])
 
@@ -346,7 +353,7 @@ def sort_groups(contexts: DataFrame, unit: Unit = BYTES) -> DataFrame:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "context", "offset", "starts", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "context", "offset", "starts", "bytes", "skip")), strict=True):
                 if rows and size >= BATCH and row[0] != rows[-1][0]:
                     yield flush(rows)
                     rows, size = [], 0
@@ -355,29 +362,48 @@ def sort_groups(contexts: DataFrame, unit: Unit = BYTES) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return contexts.select("hash", "context", "offset", "starts", "bytes").mapInArrow(run, "context binary, begins array<int>, ends array<int>")
+    return contexts.select("hash", "context", "offset", "starts", "bytes", "skip").mapInArrow(run, "context binary, begins array<int>, ends array<int>")
 
 
-def count_windows(contexts: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """The same question for hot hashes: the windows of all contexts are counted by digest."""
+def split_hot(contexts: DataFrame, unit: Unit = BYTES) -> tuple[DataFrame, DataFrame]:
+    """(context, offset, starts, bytes) of hot hashes -> groups for :func:`sort_groups`, and windows that are repeated as they stand.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A window at distance d to its anchor covers d symbols before it. All windows with d from a to b cover the symbols
+    from a before the anchor to ``length`` - b behind it; contexts that differ there share none of them.
+    """
+    length, width = unit.length, unit.width
+    names = ["key", "context", "skip", "offset", "starts", "bytes", "a", "b"]
+    schema = "key binary, context binary, skip int, offset int, starts int, bytes binary, a int, b int"
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows = [
-                    (context, i, hashlib.blake2b(raw[i * unit.width : (i + unit.length) * unit.width], digest_size=16, key=b"%d" % (offset - i)).digest())
-                    for raw, context, offset, n in zip(*(part.column(c).to_pylist() for c in ("bytes", "context", "offset", "starts")), strict=True)
-                    for i in range(n)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["context", "start", "window"])
-
-    windows = cut(contexts.select("context", "offset", "starts", "bytes").mapInArrow(run, "context binary, start int, window binary"), "suffix-windows")
-    twice = windows.groupBy("window").agg(F.min("context").alias("low"), F.max("context").alias("high")).filter("low <> high").select("window")
-    starts = windows.join(twice, "window").groupBy("context").agg(F.sort_array(F.collect_set("start")).alias("at"))
-    first = F.filter("at", lambda x, i: (i == 0) | F.coalesce(F.get("at", i - 1) != x - 1, F.lit(True)))
-    last = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
-    return starts.select("context", first.alias("begins"), last.alias("ends"))
+            for at in range(0, batch.num_rows, 512):
+                rows = []
+                for key, context, skip, offset, starts, raw, a, b in zip(*(batch.column(c).slice(at, 512).to_pylist() for c in names), strict=True):
+                    middle = (a + b) // 2
+                    for low, high in ((a, middle), (middle + 1, b)):
+                        first, stop = max(0, offset - high), min(starts, offset - low + 1)
+                        if first < stop:
+                            core = raw[(offset - low) * width : (offset + length - high) * width]
+                            found = hashlib.blake2b(core, digest_size=16, key=key + b"%d.%d" % (low, high)).digest()
+                            rows.append((found, context, skip + first, offset - first, stop - first, raw[first * width : (stop + length - 1) * width], low, high))
+                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    start = F.unhex(F.hex("hash")).alias("key")
+    rows = contexts.select(start, "context", F.lit(0).alias("skip"), "offset", "starts", "bytes", F.lit(0).alias("a"), F.lit(length - unit.gram).alias("b"))
+    groups, same = [], []
+    while True:
+        parts = cut(rows.mapInArrow(halves, schema), "suffix-halves")
+        # Written, so that a hot key can be split where parts are joined with it.
+        sizes = cut(parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-sizes")
+        kept = cut(parts.join(sizes, "key"), "suffix-shared")
+        same.append(kept.filter("a = b").select("context", F.array("skip").alias("begins"), F.array("skip").alias("ends")))
+        groups.append(kept.filter(f"a < b and n <= {HOT}").select(F.xxhash64("key").alias("hash"), "context", "skip", "offset", "starts", "bytes"))
+        rows = kept.filter(f"a < b and n > {HOT}").drop("n")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, groups), reduce(DataFrame.unionByName, same)
 
 
 def texts_once(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> tuple[DataFrame, DataFrame]:
@@ -391,9 +417,7 @@ def texts_once(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> tuple[Dat
 def spans(docs: DataFrame, nodes: DataFrame, unit: Unit = BYTES, k: int = 0) -> tuple[DataFrame, DataFrame]:
     """For unit ``k`` of a survey: nodes with their removed ``pieces``, and the texts of nodes that may lose a part."""
     docs, size = docs.select("doc_id", "text"), F.col(f"n{k}")
-    run = F.posexplode(f"runs{k}")
-    every = nodes.select("node", size.cast("int").alias("size"), F.col(f"runs{k}.low").alias("lows"), run)
-    every = every.select("node", "col.hash", "col.low", "col.place", (F.coalesce(F.get("lows", F.col("pos") + 1), F.col("size") - unit.length + 1) - F.col("col.low")).alias("starts"))
+    every = nodes.select("node", F.explode(f"runs{k}").alias("run")).select("node", "run.*")
     # A hash that occurs at two places. Written, so that the join below is of two shuffles and a hot hash can be split.
     ends = [f(c).alias(f"{n}_{c}") for c in ("node", "place") for n, f in (("low", F.min), ("high", F.max))]
     twice = cut(every.groupBy("hash").agg(*ends).filter("low_node <> high_node or low_place <> high_place").select("hash"), "suffix-twice")
@@ -413,16 +437,15 @@ def spans(docs: DataFrame, nodes: DataFrame, unit: Unit = BYTES, k: int = 0) ->
     several = each.join(per, "hash")
     again = F.struct(F.col("one.low").alias("low"), F.col("one.starts").alias("starts"), F.col("one.offset").alias("offset"), "hash").alias("run")
     bytes_of = texts.join(several.select(F.col("one.node").alias("node"), again).groupBy("node").agg(F.collect_list("run").alias("asked")), "node")
-    full = extract(bytes_of, True, unit)
+    full = extract(bytes_of, True, unit).withColumn("skip", F.lit(0))
     hot = cut(per.filter(F.col("contexts") > HOT).select("hash"), "suffix-hot")
-    if hot.isEmpty():
-        warm, found = full, None
-    else:
+    same = None
+    if not hot.isEmpty():
         full = cut(full, "suffix-bytes")
-        warm = full.join(hot, "hash", "left_anti")
-        found = count_windows(full.join(hot, "hash"), unit)
-    sorted_ = sort_groups(warm.repartition("hash").sortWithinPartitions("hash", "context"), unit)
-    found = sorted_ if found is None else sorted_.unionByName(found)
+        groups, same = split_hot(full.join(hot, "hash"), unit)
+        full = full.join(hot, "hash", "left_anti").select("hash", "context", "skip", "offset", "starts", "bytes").unionByName(groups)
+    found = sort_groups(full.repartition("hash").sortWithinPartitions("hash", "context", "skip"), unit)
+    found = found if same is None else found.unionByName(same)
     # A context that occurs twice is repeated as a whole, whatever its neighbours are.
     whole = each.filter("times > 1").select("context", F.array(F.lit(0)).alias("begins"), F.array(F.col("one.starts") - 1).alias("ends"))
     found = cut(whole.unionByName(found.join(whole.select("context"), "context", "left_anti")), "suffix-found")
