@@ -39,14 +39,18 @@ def top(cells: DataFrame, most: int = TOP) -> DataFrame:
 
 
 def shapes(cells: DataFrame, most: int = SHAPES) -> DataFrame:
-    """The commonest shapes of each column, with the first value that has it; the rest as ``(other)``."""
+    """The commonest shapes of each column, with the first value that has it; the rest as ``(other)``.
+
+    Only ranks up to ``most`` are asked for, so each task keeps that many a column; the rest is what is left of the column's number.
+    """
     found = cells.filter("value is not null").withColumn("shape", shape(F.col("value")))
     found = found.groupBy("pos", "column", "shape").agg(F.count("*").alias("n"), F.min(F.struct("_row", "value")).alias("first"))
     order = Window.partitionBy("pos").orderBy(F.col("n").desc(), "shape")
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    listed = ranked.filter(F.col("rank") <= most).select("pos", "column", "shape", "n", F.col("first.value").alias("example"))
-    other = ranked.filter(F.col("rank") > most).groupBy("pos", "column").agg(F.sum("n").alias("n")).select("pos", "column", F.lit("(other)").alias("shape"), "n", F.lit(None).cast("string").alias("example"))
-    return listed.unionByName(other)
+    listed = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    listed = listed.select("pos", "column", "shape", "n", F.col("first.value").alias("example"))
+    whole = cells.filter("value is not null").groupBy("pos", "column").agg(F.count("*").alias("whole"))
+    other = listed.groupBy("pos").agg(F.sum("n").alias("listed")).join(whole, "pos").withColumn("n", F.col("whole") - F.col("listed")).filter("n > 0")
+    return listed.unionByName(other.select("pos", "column", F.lit("(other)").alias("shape"), "n", F.lit(None).cast("string").alias("example")))
 
 
 def report(df: DataFrame, columns: list[str], na_words: tuple[str, ...] = (), row: str | None = None, head: int | None = None) -> dict:

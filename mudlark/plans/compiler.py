@@ -91,19 +91,20 @@ def checked(frame: Frame, spec: ParseSpec) -> list[tuple[str, Column, Column, Co
 
 
 def faults(frame: Frame, spec: ParseSpec) -> list[Fault]:
-    """What doesn't parse, column by column: one aggregation over the whole file."""
+    """What doesn't parse, column by column: one aggregation over the whole file, map-side first.
+
+    Rows are named by their place in the table, so the rows up to each first fault are counted, where there is one.
+    """
     columns = checked(frame, spec)
     if not columns:
         return []
     worst = [F.struct(F.count_if(p.isNotNull()).alias("n"), F.min(F.when(p.isNotNull(), F.struct("_row", raw.alias("raw"), p.alias("why")))).alias("first")).alias(f"f{i}") for i, (_, raw, _, p) in enumerate(columns)]
-    got = transforms.dense(frame.df).agg(*worst).first() if any_rows(frame) else None
-    if got is None:
+    got = frame.df.agg(*worst).first()
+    wrong = [i for i in range(len(columns)) if got[i]["n"]]
+    if not wrong:
         return []
-    return [Fault(name, got[i]["n"], got[i]["first"]["_row"], got[i]["first"]["raw"], got[i]["first"]["why"]) for i, (name, *_) in enumerate(columns) if got[i]["n"]]
-
-
-def any_rows(frame: Frame) -> bool:
-    return not frame.df.isEmpty()
+    upto = frame.df.agg(*[F.count_if(F.col("_row") <= got[i]["first"]["_row"]).alias(f"r{i}") for i in wrong]).first()
+    return [Fault(columns[i][0], got[i]["n"], upto[f"r{i}"], got[i]["first"]["raw"], got[i]["first"]["why"]) for i in wrong]
 
 
 def verify(frame: Frame, spec: ParseSpec) -> None:

@@ -40,6 +40,21 @@ def table(df: DataFrame, most: int = 10_000) -> str:
     return "\n".join(out) + (f"\n(the first {most} rows)" if len(rows) > most else "")
 
 
+def streamed(df: DataFrame):
+    """Arrow batches of a result, a partition at a time at the driver."""
+    import pyarrow as pa
+
+    def packed(batches):
+        for batch in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema) as w:
+                w.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["raw"])
+
+    for row in df.mapInArrow(packed, "raw binary").toLocalIterator(prefetchPartitions=True):
+        yield from pa.ipc.open_stream(row["raw"])
+
+
 def write(df: DataFrame, path: str, wanted: str | None = None, single: bool = True) -> None:
     """One file where ``single``, streamed through the driver; else a folder that the executors write."""
     kind = format_for(path, wanted)
@@ -50,17 +65,11 @@ def write(df: DataFrame, path: str, wanted: str | None = None, single: bool = Tr
     if kind == "table":
         Path(path).write_text(table(df) + "\n")
     elif kind == "parquet":
-        import pyarrow as pa
         import pyarrow.parquet as pq
 
-        writer = None
-        for batch in df.toArrow().to_batches(65_536):
-            writer = writer or pq.ParquetWriter(path, batch.schema, compression="zstd", compression_level=3)
-            writer.write_batch(batch)
-        if writer is None:
-            pq.write_table(pa.Table.from_batches([], df.toArrow().schema), path, compression="zstd")
-        else:
-            writer.close()
+        with pq.ParquetWriter(path, df.limit(0).toArrow().schema, compression="zstd", compression_level=3) as writer:
+            for batch in streamed(df):
+                writer.write_batch(batch.cast(writer.schema))
     else:
         import csv
 

@@ -18,6 +18,16 @@ LABELS = {"latin1": "windows-1252", "iso-8859-1": "windows-1252", "ascii": "wind
 MAX_BYTES, MAX_UNPACKED = 4 << 30, 4 << 30
 
 
+def same_code(e: UnicodeError) -> tuple[str, int]:
+    """The five bytes that Python's windows-1252 leaves open stand for the control characters of their numbers."""
+    if not isinstance(e, UnicodeDecodeError):
+        raise e
+    return "".join(map(chr, e.object[e.start : e.end])), e.end
+
+
+codecs.register_error("mudlark-c1", same_code)
+
+
 class SourceError(ValueError):
     """A file that can't be read as it is declared."""
 
@@ -132,9 +142,11 @@ def open_text(path: str, encoding: str | None = None) -> tuple[io.TextIOBase, st
                     name = detect(sample, False)
     else:
         name = codec(encoding)
-    text = io.TextIOWrapper(f, encoding="utf-8-sig" if name == "utf-8" else name, errors="replace", newline="")
+    # Bytes that the encoding doesn't know are an error; windows-1252 knows all, as the web reads it.
+    errors = "mudlark-c1" if name == "cp1252" else "strict"
+    text = io.TextIOWrapper(f, encoding="utf-8-sig" if name == "utf-8" else name, errors=errors, newline="")
     if name.startswith("utf-16"):
         first = text.read(1)
         if first not in ("\ufeff", ""):
-            text = io.TextIOWrapper(open_plain(path), encoding=name, errors="replace", newline="")
+            text = io.TextIOWrapper(open_plain(path), encoding=name, errors=errors, newline="")
     return text, name

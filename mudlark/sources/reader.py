@@ -32,8 +32,17 @@ def inner_suffix(path: str) -> str:
 
 
 def numbered(stream: io.TextIOBase) -> Iterator[str]:
-    """Lines with their ends, at \\n, \\r\\n and \\r."""
-    return iter(stream.readline, "")
+    """Lines with their ends, at \\n, \\r\\n and \\r. Bytes that can't be decoded stop it, with the line before them."""
+    n = 0
+    while True:
+        try:
+            line = stream.readline()
+        except UnicodeDecodeError as x:
+            raise SourceError(f"after line {n}: bytes {x.object[x.start : x.end][:8]!r} aren't {x.encoding}") from x
+        if not line:
+            return
+        n += 1
+        yield line
 
 
 def delimited(e: Extraction, path: str) -> Iterator[list[str]]:

@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 import zipfile
 from decimal import Decimal
 
@@ -21,16 +22,16 @@ def put(tmp_path, name, text, encoding="utf-8"):
     return str(p)
 
 
-JANUARY = "Datum;Region;Betrag\r\n31.01.2025;Ost;1'100.00\r\n30.01.2025;West;1'110.00\r\n29.01.2025;Süd;1'120.00\r\n28.01.2025;Nord;1'130.00\r\n"
+TILL = "Tag;Filiale;Kasse\r\n03.02.2025;Hafen;2'050.25\r\n04.02.2025;Höhe;990.50\r\n05.02.2025;Markt;1'310.75\r\n"
 
 
 def test_quick_start(spark, tmp_path):
-    path = put(tmp_path, "jan.csv", JANUARY, "cp1252")
+    path = put(tmp_path, "till.csv", TILL, "cp1252")
     s = Session(spark)
-    assert s.sql(f"SELECT count(*) AS n, sum(betrag) AS s FROM messy('{path}')").first().asDict() == {"n": 4, "s": Decimal("4460.00")}
-    assert [c.name for c in load(path)[0].columns] == ["datum", "region", "betrag"] and fresh(path)
-    assert {r["region"] for r in Session(spark, frozen=True).sql(f"SELECT region FROM messy('{path}')").collect()} == {"Ost", "West", "Süd", "Nord"}
-    put(tmp_path, "jan.csv", JANUARY + "x", "cp1252")
+    assert s.sql(f"SELECT count(*) AS n, sum(kasse) AS s FROM messy('{path}')").first().asDict() == {"n": 3, "s": Decimal("4351.50")}
+    assert [c.name for c in load(path)[0].columns] == ["tag", "filiale", "kasse"] and fresh(path)
+    assert {r["filiale"] for r in Session(spark, frozen=True).sql(f"SELECT filiale FROM messy('{path}')").collect()} == {"Hafen", "Höhe", "Markt"}
+    put(tmp_path, "till.csv", TILL + "x", "cp1252")
     with pytest.raises(StaleError):
         Session(spark, frozen=True).table(path)
 
@@ -47,14 +48,14 @@ def test_errors_are_loud(spark, tmp_path):
 
 def test_late_surprises(spark, tmp_path):
     rows = "".join(f"{i},{'NA' if i == 901 else 1},X{i}\n" for i in range(1, 1001))
-    path = put(tmp_path, "late.csv", "id,children,city\n" + rows)
-    assert Session(spark, write=False).sql(f"SELECT count(*) AS n, count(children) AS c, sum(children) AS s FROM messy('{path}')").first().asDict() == {"n": 1000, "c": 999, "s": 999}
+    path = put(tmp_path, "late.csv", "id,pets,town\n" + rows)
+    assert Session(spark, write=False).sql(f"SELECT count(*) AS n, count(pets) AS c, sum(pets) AS s FROM messy('{path}')").first().asDict() == {"n": 1000, "c": 999, "s": 999}
     rows = "".join(f"{i},{'B7' if i == 950 else i}\n" for i in range(1, 1001))
-    spec = sniff.sniff(spark, put(tmp_path, "alpha.csv", "trip_id,station_id\n" + rows))
+    spec = sniff.sniff(spark, put(tmp_path, "alpha.csv", "ride,dock\n" + rows))
     assert [c.dtype for c in spec.columns] == ["int64", "utf8"] and "B7" in " ".join(spec.notes)
-    rows = "".join(("invoice,amount,customer\n" if i == 700 else "") + f"{i},{i + 100},c{i}\n" for i in range(1, 1001))
-    path = put(tmp_path, "twice.csv", "invoice,amount,customer\n" + rows)
-    assert Session(spark, write=False).sql(f"SELECT count(*) AS n, sum(amount) AS s FROM messy('{path}')").first().asDict() == {"n": 1000, "s": 600500}
+    rows = "".join(("bill,owed,who\n" if i == 700 else "") + f"{i},{i + 100},c{i}\n" for i in range(1, 1001))
+    path = put(tmp_path, "twice.csv", "bill,owed,who\n" + rows)
+    assert Session(spark, write=False).sql(f"SELECT count(*) AS n, sum(owed) AS s FROM messy('{path}')").first().asDict() == {"n": 1000, "s": 600500}
 
 
 def test_torture(spark, tmp_path):
@@ -100,6 +101,25 @@ def test_logs_and_fixed_width(spark, tmp_path):
     assert s.sql(f"SELECT sum(menge) AS s FROM messy('{path}')").first()["s"] == 3210
 
 
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("2024-01-01T00:00:01Z INFO started", {"ts": "2024-01-01T00:00:01Z", "level": "INFO", "message": "started"}),
+        ("2024-01-01 00:00:01,5 +02:00 [CRITICAL] disk: full", {"ts": "2024-01-01 00:00:01,5 +02:00", "level": "CRITICAL", "message": "disk: full"}),
+        ('::1 - bob [01/Jan/2024:00:00:01 +0000] "GET /a?b=\\"c HTTP/2" 404 - "-" "agent 1" 0.013 up', {"remote_addr": "::1", "remote_user": "bob", "status": "404", "body_bytes": "-", "user_agent": "agent 1"}),
+        ('h - - [x 1] "GET /" 200 17', {"status": "200", "body_bytes": "17", "request": "GET /"}),
+        ("Jan  2 03:04:05 box cron[77]: done (ok)", {"host": "box", "process": "cron", "pid": "77", "message": "done (ok)"}),
+        ("Jan 12 03:04:05 box kernel: [1.2] up", {"process": "kernel", "pid": None, "message": "[1.2] up"}),
+        ("2024-01-01T00:00:01+0100 box sshd[9]: hello", {"host": "box", "process": "sshd", "pid": "9"}),
+        ("[Mon 1 00:00] [error] bad", {"ts": "Mon 1 00:00", "level": "error", "message": "bad"}),
+    ],
+)
+def test_log_layouts(line, want):
+    pattern = sniff.detect_log([line] * 4 + ["  more of it"])
+    got = re.match(pattern, line).groupdict()
+    assert {k: got[k] for k in want} == want
+
+
 def test_json(spark, tmp_path):
     s = Session(spark, write=False)
     path = put(tmp_path, "n.ndjson", '{"id":1,"x":12345678901234567890123,"n":{"k":1.10}}\n{"id":2,"y":"z"}\n')
@@ -172,37 +192,37 @@ def test_sqlscan():
         sqlscan.references("SELECT * FROM messy(path)")
 
 
-TARGET = """CREATE TABLE sales (
-  month DATE NOT NULL OPTIONS (matches = ('Datum', 'Date')),
-  region TEXT NOT NULL,
-  amount DECIMAL(14,2) NOT NULL OPTIONS (matches = ('Betrag', 'Betrag CHF', 'Amount', 'Betrag Rp.'))
-) WITH (files = '2025-*.csv', date_order = 'dmy', provenance = 'true');"""
+TARGET = """CREATE TABLE gauges (
+  day DATE NOT NULL OPTIONS (matches = ('gemessen', 'measured')),
+  station TEXT NOT NULL,
+  level DECIMAL(8,2) NOT NULL OPTIONS (matches = ('pegel', 'stand'))
+) WITH (files = 'week-*.csv', date_order = 'dmy', provenance = 'true');"""
 
 
-def month(m, head="Datum;Region;Betrag", tail=""):
-    return head + "\r\n" + "".join(f"{28 - m}.{m:02d}.2025;{r};{1000 + 100 * m + 10 * i:,}.00{tail}\r\n".replace(",", "'") for i, r in enumerate(("Ost", "West", "Süd", "Nord")))
+def week(n, head="gemessen;station;pegel", more=""):
+    return head + "\n" + "".join(f"{d:02d}/{n:02d}/2024;{name};{d * n}.{d}5{more}\n" for d, name in ((1, "Brücke"), (2, "Wehr"), (3, "Mühle")))
 
 
-def test_drifting_pile(spark, tmp_path):
-    t = put(tmp_path, "sales.mud.sql", TARGET)
-    for m in range(1, 4):
-        put(tmp_path, f"2025-{m:02d}.csv", month(m), "cp1252")
-    put(tmp_path, "2025-12.csv", month(12, "Datum;Region;Betrag;Kundennummer", ";77"), "cp1252")
-    put(tmp_path, "2025-07.csv", "Datum;Region;Betrag Rp.\r\n31.07.2025;Ost;110000\r\n")
-    put(tmp_path, "2025-08.csv", "Datum;Region;Betrag;Betrag\r\n31.08.2025;Ost;1.00;2.00\r\n")
-    put(tmp_path, "2025-11.csv", "Datum;Betrag\r\n30.11.2025;5.00\r\n")
+def test_pile_of_weeks(spark, tmp_path):
+    t = put(tmp_path, "gauges.mud.sql", TARGET)
+    put(tmp_path, "week-1.csv", week(1), "cp1252")
+    put(tmp_path, "week-2.csv", week(2, "measured;station;stand"))
+    put(tmp_path, "week-3.csv", week(3, "gemessen;station;pegel;observer", ";ann"), "utf-16")
+    put(tmp_path, "week-4.csv", "gemessen;station;pegel\n01/04/2024;Wehr;high\n02/04/2024;Wehr;low\n")
+    put(tmp_path, "week-5.csv", week(5, "gemessen;station;pegel;Pegel", ";0.5"))
+    put(tmp_path, "week-6.csv", "gemessen;pegel\n01/06/2024;1.50\n")
     report = pile.fit_pile(spark, t)
-    gaps = {f.path[-11:-4]: [g.kind for g in f.gaps] for f in report.fits if f.gaps}
-    assert not report.locked and gaps == {"2025-07": ["Untypable"], "2025-08": ["Ambiguous"], "2025-11": ["NoCandidate"]}
-    for m in ("07", "08", "11"):
-        (tmp_path / f"2025-{m}.csv").unlink()
+    gaps = {f.path[-10:-4]: [g.kind for g in f.gaps] for f in report.fits if f.gaps}
+    assert not report.locked and gaps == {"week-4": ["Untypable"], "week-5": ["Ambiguous"], "week-6": ["NoCandidate"]}
+    for n in (4, 5, 6):
+        (tmp_path / f"week-{n}.csv").unlink()
     assert pile.fit_pile(spark, t).locked
     df = pile.dataset(spark, t)
-    assert df.count() == 16 and df.columns == ["month", "region", "amount", "_member", "_row"]
-    assert df.groupBy().sum("amount").first()[0] == sum(Decimal(1000 + 100 * m + 10 * i) for m in (1, 2, 3, 12) for i in range(4))
-    assert Session(spark).sql(f"SELECT max(_row) AS r FROM dataset('{t}')").first()["r"] == 4
-    put(tmp_path, "2025-04.csv", month(4))
-    with pytest.raises(pile.DriftError, match="2025-04.csv: added"):
+    assert df.count() == 9 and df.columns == ["day", "station", "level", "_member", "_row"]
+    assert df.groupBy().sum("level").first()[0] == sum(Decimal(f"{d * n}.{d}5") for n in (1, 2, 3) for d in (1, 2, 3))
+    assert Session(spark).sql(f"SELECT max(_row) AS r FROM dataset('{t}')").first()["r"] == 3
+    put(tmp_path, "week-7.csv", week(7))
+    with pytest.raises(pile.DriftError, match="week-7.csv: added"):
         pile.dataset(spark, t)
 
 

@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import mudlark.queries_files  # noqa: F401
 from mudlark.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
