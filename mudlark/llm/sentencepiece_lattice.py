@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -45,7 +46,7 @@ BLOCK, COUNTED, HELD, TASK = 256, 800_000, 400_000, 25_000
 #: Bytes of units and ids that are broadcast, as Python holds them; ids that are spelled at a time.
 HOT_BYTES, SPELLED = 80 << 20, 1 << 18
 #: Characters at the end of a substring by which the length of its pieces is bounded.
-TAIL = 3
+TAIL = 4
 #: An edge as a long: fixed-point score, 22 bits of id (or UNKNOWN and the code point), 8 bits of length.
 UNKNOWN = 1 << 21
 #: Characters of two bytes that a pattern's word class has besides letters, decimal digits and the low line.
@@ -322,6 +323,17 @@ class Encoder:
         return b"".join(ids)
 
 
+#: The encoder of this Python worker, by the name of its broadcast: tasks of one run share what they remember.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(name: str, how: str, hot) -> Encoder:
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(how, hot.value)
+    return _ENCODERS[name]
+
+
 def raw_lists(column: pa.Array) -> list[bytes]:
     """Lists of int32 as bytes."""
     at = column.offsets.to_numpy()
@@ -336,7 +348,7 @@ def put_together(docs: DataFrame, pieces: Pieces, body: Callable, schema: str) -
     least = frequent(words)
     table = words.filter(F.col("n") >= least).select("unit", "ids").toArrow().combine_chunks()
     hot = dict(zip(table["unit"].to_pylist(), raw_lists(table["ids"].combine_chunks()) if table.num_rows else [], strict=True))
-    shared, how = spark.sparkContext.broadcast(hot), pieces.cut
+    shared, how, name = spark.sparkContext.broadcast(hot), pieces.cut, uuid.uuid4().hex
     rows = docs.select("doc_id", "text")
 
     def made(encoder: Encoder, doc_ids: pa.Array, texts: list[str | None], own: list[dict[str, bytes]]) -> pa.RecordBatch:
@@ -346,7 +358,7 @@ def put_together(docs: DataFrame, pieces: Pieces, body: Callable, schema: str) -
     if rest.isEmpty():
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encoder = Encoder(how, shared.value)
+            encoder = encoder_for(name, how, shared)
             for batch in batches:
                 for at, texts in texts_of(batch):
                     yield made(encoder, batch.column("doc_id").slice(at, len(texts)), texts, [{}] * len(texts))
@@ -354,7 +366,7 @@ def put_together(docs: DataFrame, pieces: Pieces, body: Callable, schema: str) -
         return rows.mapInArrow(whole, schema)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(how, shared.value)
+        encoder = encoder_for(name, how, shared)
         for batch in batches:
             for at, texts in texts_of(batch):
                 found = [sorted(encoder.rare(t)) for t in texts]
@@ -376,7 +388,7 @@ def put_together(docs: DataFrame, pieces: Pieces, body: Callable, schema: str) -
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(at, len(texts)) for c in ("key", "doc_id")] + [pa.array(packed, pa.binary())], names=["key", "doc_id", "packed"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, press = Encoder(how, shared.value), zstandard.ZstdDecompressor()
+        encoder, press = encoder_for(name, how, shared), zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
