@@ -7,6 +7,7 @@ from mudlark.llm.chat_format import ORACLE as CHAT_SQL
 from mudlark.llm.chat_format import op1_chat
 from mudlark.llm.media import op10_media
 from mudlark.llm.mixing import op2_mixing
+from mudlark.llm.oracles import SUFFIX, quality_sql
 from mudlark.llm.quality import op6_quality
 from mudlark.llm.sentencepiece_lattice import op5_sentencepiece
 from mudlark.llm.sharding import op4_sharding
@@ -30,5 +31,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_chat": CHAT_SQL,
+    "op3_suffix": SUFFIX,
+    "op6_quality": quality_sql(),
     "op7_warc": WARC_SQL,
 }
