@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 #: One or more of the characters that part words: space, tab to carriage return.
 GAP = r"[\x20\x09-\x0D]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written: shuffle files go at the end, and whole texts go to Python in small batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,12 +57,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     Its shuffle files are of no more use then and go at once.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -59,7 +59,7 @@ class Unit:
         return raw if self.width == 1 else word_hashes(raw)
 
 
-BYTES, WORDS = Unit(LENGTH, GRAM, 1), Unit(51, 16, 8)
+BYTES, WORDS = Unit(LENGTH, GRAM, 1), Unit(51, 8, 8)
 #: The bytes that part words.
 GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: The base is 3 modulo 8, so that powers of two divide differences of its powers as little as can be.
