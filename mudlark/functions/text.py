@@ -46,15 +46,15 @@ def sanitize(name: str) -> str:
 
 
 def unique(names: list[str]) -> list[str]:
-    """Names with repeats numbered from 2; empty ones become ``col_N``."""
+    """Names with repeats numbered from 2; empty ones become ``col_N``. Names that differ in case only are repeats, as in SQL."""
     seen: set[str] = set()
     out = []
     for i, name in enumerate(names, 1):
         base = name or f"col_{i}"
         new, k = base, 2
-        while new in seen:
+        while new.lower() in seen:
             new, k = f"{base}_{k}", k + 1
-        seen.add(new)
+        seen.add(new.lower())
         out.append(new)
     return out
 

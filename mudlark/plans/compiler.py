@@ -84,6 +84,58 @@ def framed(spark: SparkSession, path: str, spec: ParseSpec, name: str | None = N
     return transforms.apply_some(frame, spec.transforms, last=True)
 
 
+#: Transforms that look at one row at a time, so that many files can go through them at once.
+BY_ROW = ("constant", "split_column", "drop_rows_matching", "unpivot")
+
+
+def together(spec: ParseSpec) -> bool:
+    """Whether files of this spec can be framed by one scan: a header of one row, and then row by row."""
+    t = spec.transforms
+    headed = bool(t) and t[0].op == "promote_header" and t[0].args.get("rows", 1) == 1
+    return spec.extraction.format == "delimited" and headed and all(x.op in BY_ROW for x in t[1:])
+
+
+def framed_together(spark: SparkSession, members: list[tuple[str, str, ParseSpec]]) -> list[tuple[Frame, ParseSpec, list[tuple[str, str, ParseSpec]]]]:
+    """Files of specs that go :func:`together` as frames of many files: one for each spec and header that occurs.
+
+    One job over all files finds their headers and widths: a row a file and width.
+    """
+    rows = scan(spark, members).filter(F.size("cells") > 0)
+    found = rows.groupBy("_member", F.size("cells").alias("w")).agg(F.count("*").alias("n"), F.min(F.struct("_row", "cells")).alias("first")).collect()
+    by: dict[str, list] = {}
+    for r in found:
+        by.setdefault(r["_member"], []).append(r)
+    groups: dict[tuple, list] = {}
+    for m in members:
+        own, policy = by.get(m[1]), m[2].extraction.ragged
+        if own is None:
+            raise transforms.TransformError(f"{m[1]}: the header needs 1 rows; the table has 0")
+        common = max(own, key=lambda r: (r["n"], r["w"]))
+        odd = min((r for r in own if r["w"] != common["w"]), key=lambda r: r["first"]["_row"], default=None)
+        if odd and policy == "error":
+            raise transforms.TransformError(f"{m[1]}: row {odd['first']['_row']} has {odd['w']} fields; most rows have {common['w']}")
+        n = max(r["w"] for r in own) if policy == "pad_nulls" else common["w"]
+        head = min((r["first"] for r in own), key=lambda x: x["_row"])
+        cells = [*head["cells"], *[""] * n][:n]
+        names = transforms.header_names([cells], m[2].transforms[0].args.get("join", " "))
+        groups.setdefault((repr(m[2]), head["_row"], tuple(names)), []).append(m)
+    out = []
+    for (_, at, names), own in groups.items():
+        spec = own[0][2]
+        frame = transforms.named(Frame(scan(spark, own).filter(F.col("_row") > at)), list(names))
+        out.append((transforms.apply_some(frame, spec.transforms[1:], last=True), spec, own))
+    return out
+
+
+def faulty(frame: Frame, spec: ParseSpec) -> list[str]:
+    """The files of a frame that have a cell that doesn't parse: one aggregation over all of them."""
+    columns = checked(frame, spec)
+    bad = F.lit(False)
+    for _, _, _, p in columns:
+        bad = bad | p.isNotNull()
+    return [r[0] for r in frame.df.filter(bad).select("_member").distinct().collect()] if columns else []
+
+
 def checked(frame: Frame, spec: ParseSpec) -> list[tuple[str, Column, Column, Column]]:
     """Each column's name, raw text, value and problem."""
     frame.need([c.origin for c in spec.columns])

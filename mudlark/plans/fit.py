@@ -126,7 +126,7 @@ def fit_frame(spark: SparkSession, path: str, target: Target, frame: ParseSpec)
     unbound: list[TargetColumn] = []
     for t in target.columns:
         hits = bind(t, names)
-        twins = [n for n in names if hits and re.fullmatch(re.escape(hits[0]) + r"_\d+", n)]
+        twins = [n for n in names if hits and re.fullmatch(re.escape(hits[0]) + r"_\d+", n, re.I)]
         if len(hits) > 1 or twins:
             out.gaps.append(Gap("Ambiguous", t.name, f"several columns go by that name: {', '.join([*hits, *twins])}"))
             continue

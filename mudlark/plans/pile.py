@@ -6,6 +6,7 @@ import re
 import statistics
 import tomllib
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -212,21 +213,38 @@ def plans_of(target: Target) -> list[tuple[str, str, ParseSpec]]:
 _VERIFIED: set[tuple[str, str]] = set()
 
 
-def union(spark: SparkSession, parts: list[tuple[str, str, ParseSpec]]) -> DataFrame:
-    """Members as one relation with ``_member`` and ``_row``; each is verified once for its bytes and spec."""
-    out = None
-    for path, name, spec in parts:
-        frame = compiler.framed(spark, path, spec, name)
-        key = (session.fingerprint(path), spec_id(spec))
-        if key not in _VERIFIED:
-            try:
-                compiler.verify(frame, spec)
-            except compiler.VerifyError as e:
-                raise compiler.VerifyError(f"{name}: {e}", e.faults) from e
-            _VERIFIED.add(key)
-        df = compiler.typed(frame, spec, provenance=True)
-        out = df if out is None else out.unionByName(df)
-    return out
+def verified(spark: SparkSession, part: tuple[str, str, ParseSpec], frame=None) -> None:
+    """Verifies a member, once for its bytes and spec."""
+    path, name, spec = part
+    key = (session.fingerprint(path), spec_id(spec))
+    if key not in _VERIFIED:
+        try:
+            compiler.verify(frame or compiler.framed(spark, path, spec, name), spec)
+        except compiler.VerifyError as e:
+            raise compiler.VerifyError(f"{name}: {e}", e.faults) from e
+        _VERIFIED.add(key)
+
+
+def union(spark: SparkSession, parts: list[tuple[str, str, ParseSpec]], provenance: bool = True) -> DataFrame:
+    """Members as one relation, with ``_member`` and ``_row`` for provenance; each is verified once for its bytes and spec.
+
+    Members of one spec and header are one branch of the plan and one job of verification, however many they are.
+    """
+    out = []
+    many = [p for p in parts if compiler.together(p[2])]
+    for frame, spec, own in compiler.framed_together(spark, many) if many else []:
+        keys = {(session.fingerprint(p), spec_id(s)): name for p, name, s in own}
+        if not _VERIFIED.issuperset(keys):
+            for name in sorted(compiler.faulty(frame, spec)):
+                verified(spark, next(p for p in own if p[1] == name))
+            _VERIFIED.update(keys)
+        out.append(compiler.typed(frame, spec, provenance))
+    for part in parts:
+        if not compiler.together(part[2]):
+            frame = compiler.framed(spark, part[0], part[2], part[1])
+            verified(spark, part, frame)
+            out.append(compiler.typed(frame, part[2], provenance))
+    return reduce(DataFrame.unionByName, out)
 
 
 def dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -235,6 +253,6 @@ def dataset(spark: SparkSession, path: str) -> DataFrame:
     parts = plans_of(target)
     if not parts:
         raise DriftError("the lock has no members")
-    df = union(spark, parts)
+    df = union(spark, parts, target.provenance)
     names = [c.name for c in target.columns]
     return df.select(*names, "_member", "_row") if target.provenance else df.select(*names)

@@ -22,6 +22,8 @@ from mudlark.sources.bytes import SUFFIXES, SourceError, open_plain, open_text
 from mudlark.spec import Extraction
 
 BATCH_ROWS, BATCH_CELLS = 65_536, 1 << 20
+#: Bytes and number of small files that one task reads one after another.
+TASK_BYTES, TASK_FILES = 8 << 20, 64
 WORKBOOKS = (".xlsx", ".xlsm", ".xls", ".xlsb", ".ods")
 
 
@@ -158,14 +160,33 @@ class Member(InputPartition):
     extraction: dict
 
 
+@dataclass
+class Members(InputPartition):
+    members: list[Member]
+
+
 class MessyReader(DataSourceReader):
     def __init__(self, members: list[Member]):
         self.members = members
 
-    def partitions(self) -> list[Member]:
-        return self.members
-
-    def read(self, member: Member) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Members]:
+        """Small files share a task; a file is never split."""
+        out: list[Members] = []
+        room = 0
+        for m in self.members:
+            size = Path(m.path.removeprefix("file://")).stat().st_size
+            if not out or size > room or len(out[-1].members) >= TASK_FILES:
+                out.append(Members([]))
+                room = TASK_BYTES
+            out[-1].members.append(m)
+            room -= size
+        return out
+
+    def read(self, part: Members) -> Iterator[pa.RecordBatch]:
+        for member in part.members:
+            yield from self.rows(member)
+
+    def rows(self, member: Member) -> Iterator[pa.RecordBatch]:
         e = Extraction(**{k: tuple(map(tuple, v)) if k == "fields" else tuple(v) if k == "region" and v else v for k, v in member.extraction.items()})
         rows: list[list[str | None]] = []
         first, cells = 1, 0
@@ -185,7 +206,7 @@ class MessyReader(DataSourceReader):
 
 
 class MessySource(DataSource):
-    """Option ``members``: JSON of [path, name, extraction], one a file."""
+    """Option ``members``: JSON of [path, name, extraction], one a file. A file's rows come in order from one task."""
 
     @classmethod
     def name(cls) -> str:
