@@ -597,3 +597,21 @@ def test_pipeline(spark, tmp_path):
             before = n
     assert docs.count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "suffix_dedup", "mixing", "sentencepiece"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing columns, no labels; and no rows at all."""
+    import corpus_pipeline
+
+    rows = [(None, "a b c", "en", None, None, "x"), (1, None, None, "a", 0, "x"), (1, "", "en", "a", 0, "x"), (1, "", "en", "a", 0, "x"), (2, "w " * 300, "de", "b", 600, "x"), (None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, data in enumerate((rows, [])):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            assert name == "sentencepiece" or docs.columns == corpus_pipeline.COLUMNS
+            docs.write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.schema(docs.schema).parquet(f"{tmp_path}/{k}-{name}")
+        found = docs.collect()
+        assert all(r["exact"] for r in found) and (len(found) > 0) == (k == 0)
