@@ -10,6 +10,7 @@ from __future__ import annotations
 import dataclasses
 import json
 from dataclasses import dataclass
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from mudlark.functions import values
 from mudlark.operators import transforms
 from mudlark.operators.transforms import Frame, q
 from mudlark.sources.reader import MessySource, names_of
-from mudlark.spec import ParseSpec
+from mudlark.spec import ColumnSpec, ParseSpec
 
 OFFENDERS = 500
 
@@ -139,7 +140,13 @@ def faulty(frame: Frame, spec: ParseSpec) -> list[str]:
 def checked(frame: Frame, spec: ParseSpec) -> list[tuple[str, Column, Column, Column]]:
     """Each column's name, raw text, value and problem."""
     frame.need([c.origin for c in spec.columns])
-    return [(c.name, q(c.origin), *values.parse(q(c.origin), c)) for c in spec.columns]
+    return [(c.name, q(c.origin), *parsed(frame.df.sparkSession.sparkContext.applicationId, c)) for c in spec.columns]
+
+
+@lru_cache(maxsize=10_000)
+def parsed(application: str, c: ColumnSpec) -> tuple[Column, Column]:
+    """A column's value and problem; putting such expressions together takes longer than small files take to read."""
+    return values.parse(q(c.origin), c)
 
 
 def faults(frame: Frame, spec: ParseSpec) -> list[Fault]:
