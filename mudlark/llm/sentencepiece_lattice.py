@@ -330,7 +330,9 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder_for(name: str, how: str, hot) -> Encoder:
     if name not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(how, hot.value)
+        table = pa.ipc.open_stream(hot.value).read_all()
+        ids = [x for chunk in table["ids"].chunks for x in raw_lists(chunk)]
+        _ENCODERS[name] = Encoder(how, dict(zip(table["unit"].to_pylist(), ids, strict=True)))
     return _ENCODERS[name]
 
 
@@ -346,9 +348,12 @@ def put_together(docs: DataFrame, pieces: Pieces, body: Callable, schema: str) -
     spark = docs.sparkSession
     words = vocabulary(docs.select("text"), pieces)
     least = frequent(words)
-    table = words.filter(F.col("n") >= least).select("unit", "ids").toArrow().combine_chunks()
-    hot = dict(zip(table["unit"].to_pylist(), raw_lists(table["ids"].combine_chunks()) if table.num_rows else [], strict=True))
-    shared, how, name = spark.sparkContext.broadcast(hot), pieces.cut, uuid.uuid4().hex
+    # The driver holds the units as Arrow bytes only; workers make their dictionaries of them.
+    table, out = words.filter(F.col("n") >= least).select("unit", "ids").toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    shared, how, name = spark.sparkContext.broadcast(out.getvalue().to_pybytes()), pieces.cut, uuid.uuid4().hex
+    del table, out
     rows = docs.select("doc_id", "text")
 
     def made(encoder: Encoder, doc_ids: pa.Array, texts: list[str | None], own: list[dict[str, bytes]]) -> pa.RecordBatch:
