@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudlark.llm.common import cut, ship
+from mudlark.llm.common import cut, forget, ship
 
 LENGTH, GRAM, PIECE, HOT, BATCH, BROADCAST = 400, 128, 1 << 18, 512, 1 << 20, 1_000_000
 U = np.uint64
@@ -411,7 +411,11 @@ def texts_once(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> tuple[Dat
     signed = cut(survey(docs.select("doc_id", "text"), units), "suffix-survey")
     kept = [F.first(f"{c}{k}").alias(f"{c}{k}") for k in range(len(units)) for c in ("n", "runs")]
     nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), *kept)
-    return signed, cut(nodes.withColumn("node", F.monotonically_increasing_id()), "suffix-nodes")
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "suffix-nodes")
+    # The runs are with the nodes now; of documents only their names are kept.
+    named = cut(signed.select("doc_id", "digest", "n_bytes"), "suffix-documents")
+    forget(docs.sparkSession, signed)
+    return named, nodes
 
 
 def spans(docs: DataFrame, nodes: DataFrame, unit: Unit = BYTES, k: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -422,8 +426,9 @@ def spans(docs: DataFrame, nodes: DataFrame, unit: Unit = BYTES, k: int = 0) ->
     ends = [f(c).alias(f"{n}_{c}") for c in ("node", "place") for n, f in (("low", F.min), ("high", F.max))]
     twice = cut(every.groupBy("hash").agg(*ends).filter("low_node <> high_node or low_place <> high_place").select("hash"), "suffix-twice")
     asked = F.struct("low", "starts", (F.col("place") - F.col("low")).alias("offset"), "hash").alias("run")
-    wanted = cut(every.join(twice, "hash").select("node", asked), "suffix-asked")
-    wanted = cut(wanted.groupBy("node").agg(F.collect_list("run").alias("asked")), "suffix-wanted")
+    runs = cut(every.join(twice, "hash").select("node", asked), "suffix-asked")
+    wanted = cut(runs.groupBy("node").agg(F.collect_list("run").alias("asked")), "suffix-wanted")
+    forget(docs.sparkSession, twice, runs)
 
     own = docs.select("doc_id", text_bytes(F.col("text")).alias("raw")).withColumn("digest", digest_of(F.col("raw")))
     ids = wanted.select("node").join(nodes.select("node", "first", "digest"), "node").select("node", F.col("first").alias("_first"), F.col("digest").alias("_digest"))
