@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 
 from mudlark.llm.common import cut, forget, ship
 
-LENGTH, GRAM, PIECE, HOT, BATCH, BROADCAST = 400, 128, 1 << 18, 512, 1 << 20, 1_000_000
+LENGTH, GRAM, PIECE, HOT, BATCH = 400, 128, 1 << 18, 512, 1 << 20
+#: Rows up to which ids of texts are broadcast: about 20 MB on the driver and on each executor. More are joined by shuffles.
+BROADCAST = 100_000
 U = np.uint64
 
 

@@ -379,6 +379,16 @@ def test_near_duplicates_without_an_origin(spark, monkeypatch, block):
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
+def test_suffix_ids_by_shuffle(docs, monkeypatch):
+    """Ids of texts are broadcast up to a bound that a driver of 750 MB of heap can hold twice; more are joined by shuffles, with equal results."""
+    assert suffix_dedup.BROADCAST * 256 <= 32 << 20
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
+    found = lambda: Counter(tuple(r) for r in suffix_dedup.results(docs, with_words=True).select(*columns).collect())
+    want = found()
+    monkeypatch.setattr(suffix_dedup, "BROADCAST", 0)
+    assert found() == want and any(r[2] for r in want)
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     rude = ["grumblethorp", "snarkle", "vexoid"]
