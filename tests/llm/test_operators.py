@@ -419,6 +419,32 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model, ["doc_id"]).count() == 0
 
 
+def test_toxicity_learns_from_all(spark):
+    """Words of toxic texts that a sample of ``most`` rows would seldom hold are learnt, and no toxic text is cut off by them."""
+    rng = random.Random(6)
+    words = [f"word{k}" for k in range(500)]
+    rude = ["".join(rng.choice("bcdfgklmnprstvz") for _ in range(8)) for _ in range(100)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12)) + (f" {rude[i // 3 % 100]}" if i % 3 == 0 else ""), "en") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(6000)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels, most=150), ["doc_id"]).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum((got[i] >= 0.3) == (i % 3 == 0) for i in held) / len(held) > 0.95
+
+
+def test_toxicity_cuts(spark):
+    """The cut of a key is the best of all cuts between its rows, whatever their number."""
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(-40, 40) + 20 * y, y) for k in ("a", "b") for y in (rng.random() < 0.2 for _ in range(400))]
+    rows = [(k, b, int(y)) for k, b, y in rows] + [("c", 5, 1)]
+    got = toxicity.best_cuts(spark.createDataFrame(rows, "key string, bin long, toxic int"))
+    for key in "abc":
+        own = [(b, y) for k, b, y in rows if k == key]
+        f1 = lambda at: 2 * sum(y for b, y in own if b / 1024 >= at) / (sum(b / 1024 >= at for b, _ in own) + sum(y for _, y in own))  # noqa: E731, B023
+        at, zeros, ones = got[key]
+        assert f1(at) == max(f1(b / 1024) for b, _ in own) and (zeros, ones) == (sum(y == 0 for _, y in own), sum(y for _, y in own))
+
+
 def test_toxicity_pieces():
     model = toxicity.Model.fresh()
     rng = np.random.default_rng(0)
