@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,24 @@ GAP = r"[\x20\x09-\x0D]+"
 #: What holds while a table is written: shuffle files go at the end, and whole texts go to Python in small batches.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
+#: What a Python worker keeps from one task of a run to the next, by the run's name.
+KEPT: dict = {}
+
+
+def release() -> None:
+    """For the first body of a run: frees what this Python worker has kept of other runs, and gives unused memory back."""
+    KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def settle(spark: SparkSession) -> None:
+    """Collects the executors' heaps, between steps that have little in common: G1 gives memory back after full collections only."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.

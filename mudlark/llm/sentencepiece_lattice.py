@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudlark.llm.common import cut, forget, ship
+from mudlark.llm.common import KEPT, cut, forget, release, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -323,17 +323,14 @@ class Encoder:
         return b"".join(ids)
 
 
-#: The encoder of this Python worker, by the name of its broadcast: tasks of one run share what they remember.
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_for(name: str, how: str, hot) -> Encoder:
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
+    """The encoder of this Python worker, by the name of its broadcast: tasks of one run share what they remember."""
+    if name not in KEPT:
+        release()
         table = pa.ipc.open_stream(hot.value).read_all()
         ids = [x for chunk in table["ids"].chunks for x in raw_lists(chunk)]
-        _ENCODERS[name] = Encoder(how, dict(zip(table["unit"].to_pylist(), ids, strict=True)))
-    return _ENCODERS[name]
+        KEPT[name] = Encoder(how, dict(zip(table["unit"].to_pylist(), ids, strict=True)))
+    return KEPT[name]
 
 
 def raw_lists(column: pa.Array) -> list[bytes]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudlark.llm.common import cut, forget, ship
+from mudlark.llm.common import cut, forget, release, ship
 
 LENGTH, GRAM, PIECE, HOT, BATCH = 400, 128, 1 << 18, 512, 1 << 20
 #: Rows up to which ids of texts are broadcast: about 20 MB on the driver and on each executor. More are joined by shuffles.
@@ -173,6 +173,7 @@ def survey(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
         return np.concatenate([np.diff(np.append(x, max(n - length + 1, 0))) for x, n in zip(lows, sizes, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

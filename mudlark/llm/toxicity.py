@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mudlark.llm.common import cut, forget, ship
+from mudlark.llm.common import cut, forget, release, ship
 
 THRESHOLD = 0.3
 BITS, HALF, WIDTHS, FILTERS, PIECE = 17, 8, (1, 2, 3), 8, 65_536
@@ -322,6 +322,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     joined = texts.join(known, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("doc_id", F.lit(11)).alias("order"), (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(5)) == 0).alias("held"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashed = Words()
         for batch in batches:
             for a in range(0, batch.num_rows, 256):

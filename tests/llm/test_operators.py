@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mudlark.llm import bagminhash, chat_format, media, mixing, quality, sentencepiece_lattice, sharding, suffix_dedup, toxicity, warc
+from mudlark.llm import bagminhash, chat_format, common, media, mixing, quality, sentencepiece_lattice, sharding, suffix_dedup, toxicity, warc
 from mudlark.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, shard string, size string"
@@ -379,6 +379,24 @@ def test_near_duplicates_without_an_origin(spark, monkeypatch, block):
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
+def test_stages_give_memory_back(spark, monkeypatch):
+    """Every stage of the pipeline collects the executors' heaps first, and a run's first body drops what a worker kept of others."""
+    import corpus_pipeline
+
+    common.settle(spark)
+    common.KEPT["other"] = object()
+    common.release()
+    assert not common.KEPT
+
+    def stop(session):
+        raise InterruptedError
+
+    monkeypatch.setattr(corpus_pipeline, "settle", stop)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(spark, None, "")
+
+
 def test_suffix_ids_by_shuffle(docs, monkeypatch):
     """Ids of texts are broadcast up to a bound that a driver of 750 MB of heap can hold twice; more are joined by shuffles, with equal results."""
     assert suffix_dedup.BROADCAST * 256 <= 32 << 20
