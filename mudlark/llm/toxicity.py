@@ -32,8 +32,8 @@ THRESHOLD = 0.3
 BITS, HALF, WIDTHS, FILTERS, PIECE = 17, 8, (1, 2, 3), 8, 65_536
 #: Labelled rows of a shard that trains apart, shards at most (they grow then), and words that are held at a time.
 SHARD, SHARDS, WORDS_HELD = 6000, 64, 1 << 22
-#: Steps of a logit in which cuts are sought, and of a number that is summed.
-BINS, FIXED = 1024, 2.0**32
+#: Steps of a logit in which cuts are sought.
+BINS = 1024
 NAMES = ["toxic", "lang", "order", "held"]
 EDGE = ".,;:!?\"'()[]{}«»¡¿…-–—*#"
 
@@ -223,14 +223,52 @@ class Trainer:
             _rows_step(model.second, seen[1], places & mask, grads[:, HALF:], 0.1)
 
 
+def _raw(values: np.ndarray) -> pa.Array:
+    """Rows of ``2 * HALF`` numbers as bytes of float32."""
+    values = np.ascontiguousarray(values, np.float32)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * HALF), len(values), [None, pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _numbers(raw: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, 2 * HALF)
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """(at, raw) -> for each ``at`` one row: the mean of its rows for a row of a table, the sum for dense parts, which begin at ``2 << BITS``.
+
+    A group is summed in order of its bytes, so that any order of the shards gives the same model; no number is too large or too small for that.
+    """
+
+    def group(at: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        own, n = at[first], np.diff(np.append(first, len(at)))
+        found = np.add.reduceat(values.astype(np.float64), first, axis=0) / np.where(own < 2 << BITS, n, 1)[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(own), _raw(found)], names=["at", "raw"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, values = np.zeros(0, np.int64), np.zeros((0, 2 * HALF), np.float32)
+        for batch in batches:
+            at = np.concatenate([at, batch.column("at").to_numpy()])
+            values = np.concatenate([values, _numbers(batch.column("raw"))])
+            # The last group can go on in the next batch.
+            last = int(np.searchsorted(at, at[-1])) if len(at) else 0
+            if last:
+                yield group(at[:last], values[:last])
+                at, values = at[last:], values[last:]
+        if len(at):
+            yield group(at, values)
+
+    return parts.repartition("at").sortWithinPartitions("at", "raw").mapInArrow(run, "at long, raw binary")
+
+
 def _round(rows: DataFrame, counts: tuple[int, int], trainer: Trainer, turn: int) -> Trainer:
     """One pass over all ``rows`` (shard, toxic, ids), ``counts`` of either label: shards train apart, and what they changed is put together.
 
-    A row of a table moves by the mean of the shards that used it, a dense part by the mean over all rows. Sums are
-    of fixed-point numbers, so any order gives the same model.
+    A row of a table moves by the mean of the shards that used it; a dense part becomes the mean over all rows, so that
+    Adam's second moments, which are not negative in any shard, are not negative after it.
     """
     spark = rows.sparkSession
-    shared, kinds = spark.sparkContext.broadcast(trainer), [f"c{i}" for i in range(2 * HALF)]
+    shared = spark.sparkContext.broadcast(trainer)
     weights = [0.5 * sum(counts) / max(1, n) for n in counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +283,12 @@ def _round(rows: DataFrame, counts: tuple[int, int], trainer: Trainer, turn: int
                 held, size = [], 0
 
         def changed() -> pa.RecordBatch:
-            old = shared.value
-            tables, flat = own.tables() - old.tables(), (own.flat() - old.flat()) * (count / sum(counts))
+            tables, flat = own.tables() - shared.value.tables(), own.flat() * (count / sum(counts))
             used = np.flatnonzero(tables.any(axis=1))
             # Dense parts follow the tables, as rows of the same width.
             flat = np.concatenate([flat, np.zeros(-len(flat) % (2 * HALF))]).reshape(-1, 2 * HALF)
             at = np.concatenate([used, np.arange(len(flat)) + (2 << BITS)])
-            values = np.rint(np.concatenate([tables[used], flat]) * FIXED).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(2 * HALF))], names=["at", *kinds])
+            return pa.RecordBatch.from_arrays([pa.array(at), _raw(np.concatenate([tables[used], flat]))], names=["at", "raw"])
 
         shard = None
         for batch in batches:
@@ -270,17 +306,14 @@ def _round(rows: DataFrame, counts: tuple[int, int], trainer: Trainer, turn: int
             learn()
             yield changed()
 
-    parts = rows.select("shard", "toxic", "ids").mapInArrow(run, ", ".join(["at long", *(f"{c} long" for c in kinds)]))
-    summed = cut(parts.groupBy("at").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in kinds)), "toxicity-round")
-    table = summed.toArrow().sort_by("at")
-    forget(spark, summed)
+    found = cut(summed(rows.select("shard", "toxic", "ids").mapInArrow(run, "at long, raw binary")), "toxicity-round")
+    table = found.toArrow().sort_by("at")
+    forget(spark, found)
     shared.destroy()
-    at, n = table["at"].to_numpy(), table["n"].to_numpy()
-    values = np.stack([table[c].to_numpy() for c in kinds], axis=1) / FIXED
+    at, values = table["at"].to_numpy(), _numbers(table["raw"])
     first = int(np.searchsorted(at, 2 << BITS))
-    trainer.add(at[:first], (values[:first] / n[:first, None]).astype(np.float32))
-    flat = trainer.flat()
-    trainer.set_flat(flat + values[first:].ravel()[: len(flat)])
+    trainer.add(at[:first], values[:first])
+    trainer.set_flat(values[first:].ravel()[: len(trainer.flat())])
     return trainer
 
 

@@ -450,6 +450,37 @@ def test_toxicity_learns_from_all(spark):
     assert sum((got[i] >= 0.3) == (i % 3 == 0) for i in held) / len(held) > 0.95
 
 
+def test_toxicity_small_moments(spark):
+    """Second moments that fade become neither negative nor zero when shards are put together, or the next pass divides by nothing."""
+    trainer = toxicity.Trainer()
+    trainer.model.constant, start = -100.0, 3.6 / 2**32
+    trainer.dense[0].v[:] = start
+    ids = np.array([toxicity.Words()("word")[0]] * 3, np.int64).tobytes()
+    rows = spark.createDataFrame([(s, 0, ids) for s in range(4) for _ in range(3200)], "shard int, toxic int, ids binary")
+    rows = rows.repartition(4, "shard").sortWithinPartitions("shard")
+    found = toxicity._round(rows, (12_800, 0), trainer, 0)
+    assert np.allclose(found.dense[0].v, start * 0.99**100, rtol=1e-3, atol=0) and abs(found.dense[0].t - 100) < 1e-3
+    assert np.isfinite(toxicity._round(rows, (12_800, 0), found, 1).flat()).all()
+
+
+def test_toxicity_sums(spark):
+    """Sums of any size, whose order is that of the bytes: the same in any order of the rows."""
+    rng = np.random.default_rng(3)
+    table, dense = 5, (2 << toxicity.BITS) + 1
+    rows = [(at, (rng.normal(0, 1, 16) * 10.0 ** rng.integers(-12, 13)).astype(np.float32)) for at in (table, dense) for _ in range(3000)]
+    rows += [(k, np.full(16, k, np.float32)) for k in range(10, 40)]
+    got = []
+    for _ in range(2):
+        rng.shuffle(rows := [(int(at), x) for at, x in rows])
+        found = toxicity.summed(spark.createDataFrame([(at, x.tobytes()) for at, x in rows], "at long, raw binary")).collect()
+        got.append({r["at"]: bytes(r["raw"]) for r in found})
+        assert len(found) == len(got[-1]) == 32
+    assert got[0] == got[1]
+    for at, raw in got[0].items():
+        own = np.array([x for a, x in rows if a == at], np.float64)
+        assert np.allclose(np.frombuffer(raw, np.float32), own.sum(0) if at == dense else own.mean(0), rtol=1e-5)
+
+
 def test_toxicity_cuts(spark):
     """The cut of a key is the best of all cuts between its rows, whatever their number."""
     rng = random.Random(8)
