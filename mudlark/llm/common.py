@@ -71,15 +71,16 @@ def ship(spark: SparkSession) -> None:
     context._mudlark_shipped = True
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again, so lost executors can't undo it.
 
-    Its shuffle files are of no more use then and go at once.
+    Its shuffle files are of no more use then and go at once. ``rows`` go to Python at a time, where they are small.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = {k: spark.conf.get(k) for k in WRITING}
+    writing = WRITING | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {k: spark.conf.get(k) for k in writing}
     try:
-        for k, v in WRITING.items():
+        for k, v in writing.items():
             spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:

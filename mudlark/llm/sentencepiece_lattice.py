@@ -30,6 +30,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Ends that a fold goes over at a time; words that a task counts at a time, and whose ids it remembers; units of a task.
 BLOCK, COUNTED, HELD, TASK = 256, 800_000, 400_000, 25_000
+#: Edges that go to Python at a time.
+EDGES = 16_384
 #: Bytes of units and ids that are broadcast, as Python holds them; ids that are spelled at a time.
 HOT_BYTES, SPELLED = 80 << 20, 1 << 18
 #: Characters at the end of a substring by which the length of its pieces is bounded.
@@ -52,6 +55,8 @@ UNKNOWN = 1 << 21
 #: Characters of two bytes that a pattern's word class has besides letters, decimal digits and the low line.
 NUMBERS = "".join(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(0xD800)))) if not c.isalpha())
 LETTERS = re.compile(rf"{SPACE}*(?:[^\W\d_{NUMBERS}]+|(?:[\d_{NUMBERS}]|[^\w{SPACE}])+)|{SPACE}+")
+#: Most of what follows the letters of a word; all of it is in the second class of the pattern.
+AFTER = "".join(c for c in map(chr, range(128)) if not c.isalpha() and c != " ")
 WORDS = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -107,8 +112,15 @@ def splitter(cut: str) -> tuple[Callable[[str | None], list[str]], Callable[[str
     formed = lambda w: w if w.startswith(SPACE) else SPACE + w
     if cut == "words":
         return words_of, lambda w: [formed(w)]
-    # Letters alone are one unit; the pattern would find the same.
-    return words_of, lambda w: [SPACE + w] if w.isalpha() else LETTERS.findall(formed(w))
+
+    def apart(w: str) -> list[str]:
+        # Letters alone are one unit, and what follows them is one; the pattern would find the same.
+        core = w.rstrip(AFTER)
+        if not core.isalpha():
+            return LETTERS.findall(formed(w))
+        return [SPACE + w] if len(core) == len(w) else [SPACE + core, w[len(core) :]]
+
+    return words_of, apart
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text", rows: int = 256) -> Iterator[tuple[int, list[str | None]]]:
@@ -149,18 +161,22 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, n) -> a row an edge, a unit's rows one after another in order of their ends: the unit and n (first row of a unit only), end, edge."""
     spark = words.sparkSession
     # The piece table's size is the model's vocabulary, so both tables are broadcast.
-    table = F.broadcast(spark.createDataFrame(pieces.table, "piece string, id int, score int"))
+    # They are joined by hash, as a long is found faster than a string; texts are compared after that.
+    table = F.broadcast(spark.createDataFrame(pieces.table, "text string, id int, score int").withColumn("key", F.xxhash64("text")))
     bounds: dict[str, int] = {}
     for t, _, _ in pieces.table:
         if len(t) >= TAIL:
             bounds[t[-TAIL:]] = max(bounds.get(t[-TAIL:], 0), len(t))
-    bounded = F.broadcast(spark.createDataFrame(list(bounds.items()) or [("", 0)], "tail string, bound int"))
+    # Tails that meet by hash only share the larger bound, which is still one.
+    bounded = F.broadcast(spark.createDataFrame(list(bounds.items()) or [("", 0)], "tail string, bound int").groupBy(F.xxhash64("tail").alias("tail")).agg(F.max("bound").alias("bound")))
     ends = words.select("unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("end"))
-    ends = ends.withColumn("tail", F.when(F.col("end") >= TAIL, F.substring("unit", F.col("end") - (TAIL - 1), F.lit(TAIL)))).join(bounded, "tail", "left")
+    ends = ends.withColumn("tail", F.when(F.col("end") >= TAIL, F.xxhash64(F.substring("unit", F.col("end") - (TAIL - 1), F.lit(TAIL))))).join(bounded, "tail", "left")
     most = F.least("end", F.coalesce("bound", F.lit(TAIL - 1)))
     spans = ends.select("unit", "n", "end", F.explode(F.sequence(most, F.lit(1), F.lit(-1))).alias("length"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("end") - F.col("length") + 1, F.col("length")))
-    found = spans.join(table, "piece", "left").filter("id is not null or length = 1")
+    # Two bounds and no equality, which would make the text a part of the key.
+    same = (F.xxhash64("piece") == F.col("key")) & (F.col("piece") <= F.col("text")) & (F.col("piece") >= F.col("text"))
+    found = spans.join(table, same, "left").filter("id is not null or length = 1")
     code = F.coalesce("id", F.ascii("piece") + UNKNOWN).cast("long")
     edge = F.coalesce("score", F.lit(pieces.unknown)).cast("long") * (1 << 30) + code * 256 + F.col("length")
     opens = F.col("end") == 1
@@ -271,7 +287,8 @@ def vocabulary(docs: DataFrame, pieces: Pieces) -> DataFrame:
     words = cut(count_units(docs, pieces), "piece-units")
     # Some thousand units are much work and few bytes: they are dealt out by number and not by size.
     tasks = max(2 * spark.sparkContext.defaultParallelism, words.count() // TASK + 1)
-    found = cut(encode_units(words.repartition(tasks, "unit"), pieces), "piece-vocabulary")
+    # The rows that go to Python are edges, of a few bytes each.
+    found = cut(encode_units(words.repartition(tasks, "unit"), pieces), "piece-vocabulary", EDGES)
     forget(spark, words)
     return found
 
@@ -290,37 +307,33 @@ def frequent(words: DataFrame, most: int | None = None) -> int:
     return least
 
 
-class Encoder:
-    """The documents' side: known units with their ids as bytes of int32, and the words that they alone make."""
+class Encoder(dict):
+    """The documents' side: the words that broadcast units alone make, with their ids as bytes of int32; others are put together anew with the units in ``own``."""
 
     def __init__(self, how: str, hot: dict[str, bytes]):
         self.into, self.apart = splitter(how)
-        self.hot, self.known = hot, {}
-
-    def word(self, w: str) -> bytes | None:
-        """The ids of a word; None if a unit of it isn't broadcast."""
-        ids = list(map(self.hot.get, self.apart(w)))
-        if None in ids:
-            return None
-        if len(self.known) >= HELD:
-            self.known.clear()
-        found = self.known[w] = b"".join(ids)
-        return found
+        self.hot, self.own = hot, {}
+
+    def _word(self, w: str) -> tuple[list[str], list[bytes | None]]:
+        """The units of a new word and their ids, None for those that aren't broadcast; without such, the word is remembered."""
+        units = self.apart(w)
+        ids = list(map(self.hot.get, units))
+        if None not in ids:
+            if len(self) >= HELD:
+                self.clear()
+            self[w] = b"".join(ids)
+        return units, ids
+
+    def __missing__(self, w: str) -> bytes:
+        return b"".join([self.own[u] if x is None else x for u, x in zip(*self._word(w), strict=True)])
 
     def rare(self, text: str | None) -> set[str]:
         """The units of a text that aren't broadcast."""
-        known, hot = self.known, self.hot
-        return {u for w in set(self.into(text)) if w not in known and self.word(w) is None for u in self.apart(w) if u not in hot}
+        return {u for w in filterfalse(self.__contains__, set(self.into(text))) for u, x in zip(*self._word(w), strict=True) if x is None}
 
     def encode(self, text: str | None, own: dict[str, bytes]) -> bytes:
-        words = self.into(text)
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            for k, x in enumerate(ids):
-                if x is None:
-                    x = self.word(words[k])
-                    ids[k] = b"".join([self.hot.get(u) or own[u] for u in self.apart(words[k])]) if x is None else x
-        return b"".join(ids)
+        self.own = own
+        return b"".join(map(self.__getitem__, self.into(text)))
 
 
 def encoder_for(name: str, how: str, hot) -> Encoder:

@@ -585,6 +585,17 @@ def test_sentencepiece_is_the_library(spark, docs, empty, unigram, monkeypatch):
     assert sentencepiece_lattice.encode(empty, path).count() == 0
 
 
+def test_sentencepiece_apart():
+    """The short way for letters and what follows them finds the pattern's units."""
+    rng = random.Random(2)
+    into, apart = sentencepiece_lattice.splitter("letters")
+    assert into("Wort, 12") == ["Wort,", "12"]
+    signs = [*map(chr, range(33, 127)), *"\n\täß²½٣ⅷ日»…▁\U0001F600"]
+    words = ["".join(rng.choice("aé日" if rng.random() < 0.6 else signs) for _ in range(rng.randint(0, 8))) for _ in range(20_000)]
+    for w in [*words, *(w + rng.choice(signs) for w in ("a", "wort", "Äö")), "", "a", "a.", "a.\n", "▁a."]:
+        assert apart(w) == sentencepiece_lattice.LETTERS.findall(w if w.startswith("▁") else "▁" + w), w
+
+
 def best_sum(form, pieces):
     """The largest sum of scores over all ways to cut a form, and the ids of one such way: plain dynamic programming."""
     known = {t: (i, s) for t, i, s in pieces.table}
