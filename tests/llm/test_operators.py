@@ -450,6 +450,14 @@ def test_toxicity_learns_from_all(spark):
     assert sum((got[i] >= 0.3) == (i % 3 == 0) for i in held) / len(held) > 0.95
 
 
+def test_toxicity_one_join(spark):
+    """Small labels are joined as large ones are, not sent to all executors."""
+    docs = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    plan = toxicity.labelled(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_toxicity_small_moments(spark):
     """Second moments that fade become neither negative nor zero when shards are put together, or the next pass divides by nothing."""
     trainer = toxicity.Trainer()
