@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,26 @@ def release() -> None:
         trim(0)
 
 
+def trim(spark: SparkSession) -> str:
+    """Collects the driver's heap, and gives back what its JVM has freed outside of it; what the JVM says to that, nothing if it can't."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.java.lang.System.gc()
+    of = jvm.java.lang.Class.forName
+    types = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for k, name in enumerate(types):
+        kinds[k] = of(name)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        # By the interface: the server's own class is closed to callers.
+        return str(of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given))
+    except Py4JJavaError:
+        return ""
+
+
 def settle(spark: SparkSession) -> None:
-    """Collects the executors' heaps, between steps that have little in common: G1 gives memory back after full collections only."""
+    """Collects the heaps of executors and driver, between steps that have little in common: G1 gives memory back after full collections only."""
+    trim(spark)
     tasks = spark.sparkContext.defaultParallelism
     spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mudlark.llm.common import cut, forget, release, ship
+from mudlark.llm.common import cut, forget, release, ship, trim
 
 LENGTH, GRAM, PIECE, HOT, BATCH = 400, 128, 1 << 18, 512, 1 << 20
 #: Rows up to which ids of texts are broadcast: about 20 MB on the driver and on each executor. More are joined by shuffles.
@@ -418,6 +418,7 @@ def texts_once(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> tuple[Dat
     # The runs are with the nodes now; of documents only their names are kept.
     named = cut(signed.select("doc_id", "digest", "n_bytes"), "suffix-documents")
     forget(docs.sparkSession, signed)
+    trim(docs.sparkSession)
     return named, nodes
 
 
@@ -437,6 +438,7 @@ def spans(docs: DataFrame, nodes: DataFrame, unit: Unit = BYTES, k: int = 0) ->
     ids = wanted.select("node").join(nodes.select("node", "first", "digest"), "node").select("node", F.col("first").alias("_first"), F.col("digest").alias("_digest"))
     held = own.join(F.broadcast(ids) if wanted.count() <= BROADCAST else ids, own["doc_id"].eqNullSafe(ids["_first"]) & (own["digest"] == ids["_digest"]))
     texts = cut(held.select("node", "raw").dropDuplicates(["node"]), "suffix-texts")
+    trim(docs.sparkSession)
 
     seen = cut(extract(texts.join(wanted, "node"), False, unit).drop("bytes"), "suffix-contexts")
     each = seen.groupBy("hash", "context").agg(F.count("*").alias("times"), F.min(F.struct("node", "low", "starts", "offset")).alias("one"))
@@ -457,6 +459,7 @@ def spans(docs: DataFrame, nodes: DataFrame, unit: Unit = BYTES, k: int = 0) ->
     # A context that occurs twice is repeated as a whole, whatever its neighbours are.
     whole = each.filter("times > 1").select("context", F.array(F.lit(0)).alias("begins"), F.array(F.col("one.starts") - 1).alias("ends"))
     found = cut(whole.unionByName(found.join(whole.select("context"), "context", "left_anti")), "suffix-found")
+    trim(docs.sparkSession)
     pieces = seen.join(found, "context").select("node", F.explode(F.arrays_zip("begins", "ends")).alias("x"), "low")
     pieces = pieces.groupBy("node").agg(F.sort_array(F.collect_list(F.struct((F.col("low") + F.col("x.begins")).alias("a"), (F.col("low") + F.col("x.ends") + unit.length).alias("b")))).alias("pieces"))
     known = nodes.select("node", "digest", "first", "copies", size.alias("n")).join(pieces, "node", "left")

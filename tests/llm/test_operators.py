@@ -397,6 +397,17 @@ def test_stages_give_memory_back(spark, monkeypatch):
             stage(spark, None, "")
 
 
+def test_driver_gives_memory_back(spark, docs, monkeypatch):
+    """The driver's JVM gives memory back before every stage, and between the steps of the suffix stage."""
+    assert "native heap" in common.trim(spark).lower()
+    asked = []
+    monkeypatch.setattr(common, "trim", lambda s: asked.append("settle"))
+    monkeypatch.setattr(suffix_dedup, "trim", lambda s: asked.append("suffix"))
+    common.settle(spark)
+    suffix_dedup.dedup_words(docs)
+    assert asked == ["settle"] + ["suffix"] * 3
+
+
 def test_suffix_ids_by_shuffle(docs, monkeypatch):
     """Ids of texts are broadcast up to a bound that a driver of 750 MB of heap can hold twice; more are joined by shuffles, with equal results."""
     assert suffix_dedup.BROADCAST * 256 <= 32 << 20
