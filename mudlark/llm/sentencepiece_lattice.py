@@ -57,6 +57,8 @@ NUMBERS = "".join(c for c in re.findall(r"[^\W\d_]", "".join(map(chr, range(0xD8
 LETTERS = re.compile(rf"{SPACE}*(?:[^\W\d_{NUMBERS}]+|(?:[\d_{NUMBERS}]|[^\w{SPACE}])+)|{SPACE}+")
 #: Most of what follows the letters of a word; all of it is in the second class of the pattern.
 AFTER = "".join(c for c in map(chr, range(128)) if not c.isalpha() and c != " ")
+#: What the pattern finds in ASCII.
+PLAIN = re.compile("[A-Za-z]+|[^A-Za-z]+")
 WORDS = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -114,11 +116,17 @@ def splitter(cut: str) -> tuple[Callable[[str | None], list[str]], Callable[[str
         return words_of, lambda w: [formed(w)]
 
     def apart(w: str) -> list[str]:
-        # Letters alone are one unit, and what follows them is one; the pattern would find the same.
+        # Letters alone are one unit, and what follows them is one; ASCII has one run after another. The pattern would find the same.
+        if w.isalpha():
+            return [SPACE + w]
         core = w.rstrip(AFTER)
-        if not core.isalpha():
-            return LETTERS.findall(formed(w))
-        return [SPACE + w] if len(core) == len(w) else [SPACE + core, w[len(core) :]]
+        if core.isalpha():
+            return [SPACE + core, w[len(core) :]]
+        if w and w.isascii():
+            units = PLAIN.findall(w)
+            units[0] = SPACE + units[0]
+            return units
+        return LETTERS.findall(formed(w))
 
     return words_of, apart
 
@@ -137,10 +145,11 @@ def count_units(docs: DataFrame, pieces: Pieces) -> DataFrame:
         seen: Counter = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found: Counter = Counter()
+            found: dict[str, int] = {}
+            before = found.get
             for w, n in seen.items():
                 for u in apart(w):
-                    found[u] += n
+                    found[u] = before(u, 0) + n
             seen.clear()
             units, times = list(found), list(found.values())
             for k in range(0, len(units), 10_000):
@@ -317,7 +326,7 @@ class Encoder(dict):
     def _word(self, w: str) -> tuple[list[str], list[bytes | None]]:
         """The units of a new word and their ids, None for those that aren't broadcast; without such, the word is remembered."""
         units = self.apart(w)
-        ids = list(map(self.hot.get, units))
+        ids = [self.hot.get(units[0])] if len(units) == 1 else list(map(self.hot.get, units))
         if None not in ids:
             if len(self) >= HELD:
                 self.clear()
@@ -325,11 +334,21 @@ class Encoder(dict):
         return units, ids
 
     def __missing__(self, w: str) -> bytes:
-        return b"".join([self.own[u] if x is None else x for u, x in zip(*self._word(w), strict=True)])
+        units, ids = self._word(w)
+        if len(ids) == 1:
+            return self.own[units[0]] if ids[0] is None else ids[0]
+        return b"".join([self.own[u] if x is None else x for u, x in zip(units, ids, strict=True)])
 
     def rare(self, text: str | None) -> set[str]:
         """The units of a text that aren't broadcast."""
-        return {u for w in filterfalse(self.__contains__, set(self.into(text))) for u, x in zip(*self._word(w), strict=True) if x is None}
+        found = set()
+        for w in filterfalse(self.__contains__, set(self.into(text))):
+            units, ids = self._word(w)
+            if len(ids) > 1:
+                found.update(u for u, x in zip(units, ids, strict=True) if x is None)
+            elif ids[0] is None:
+                found.add(units[0])
+        return found
 
     def encode(self, text: str | None, own: dict[str, bytes]) -> bytes:
         self.own = own

@@ -615,6 +615,23 @@ def test_sentencepiece_apart():
         assert apart(w) == sentencepiece_lattice.LETTERS.findall(w if w.startswith("▁") else "▁" + w), w
 
 
+def test_sentencepiece_plain_words(monkeypatch):
+    """Words of ASCII are cut without the long pattern, into its units; the encoder finds and uses units that aren't broadcast, alone or among others."""
+    _, apart = sentencepiece_lattice.splitter("letters")
+    words = ["it's", "a.\nB", "(x)", "12a", "_", ".", "x1y2", "a\tb", "wort", "wort."]
+    want = [sentencepiece_lattice.LETTERS.findall("▁" + w) for w in words]
+    monkeypatch.setattr(sentencepiece_lattice, "LETTERS", None)
+    assert [apart(w) for w in words] == want
+    units = sorted({u for x in want for u in x})
+    ids = {u: np.array([k, k + 1], np.int32).tobytes() for k, u in enumerate(units)}
+    for kept in (units, units[::2], []):
+        encoder = sentencepiece_lattice.Encoder("letters", {u: ids[u] for u in kept})
+        rest = set(units) - set(kept)
+        for _ in range(2):
+            assert encoder.rare(" ".join(words)) == rest and encoder.rare(None) == set()
+            assert encoder.encode(" ".join(words), {u: ids[u] for u in rest}) == b"".join(ids[u] for x in want for u in x)
+
+
 def best_sum(form, pieces):
     """The largest sum of scores over all ways to cut a form, and the ids of one such way: plain dynamic programming."""
     known = {t: (i, s) for t, i, s in pieces.table}
