@@ -269,3 +269,15 @@ def test_sinks(spark, tmp_path):
 
 def test_frames_by_format():
     assert Extraction().format == "delimited" and Transform("remove_empty").args == {}
+
+
+def test_footer_far_below(spark, tmp_path):
+    """The last row counts as a footer however many rows are above it, and only if its label is alone in its column."""
+    s = Session(spark, write=False)
+    rows = "".join(f"{i};c{i};{i},50\n" for i in range(1, 3001))
+    path = put(tmp_path, "long.csv", "Key;Name;Balance\n" + rows + "Total;;4503000,00\n")
+    assert s.sql(f"SELECT count(*) AS n, sum(balance) AS s FROM messy('{path}')").first().asDict() == {"n": 3000, "s": Decimal("4503000.00")}
+    spec = sniff.infer(put(tmp_path, "two.csv", "Key;Name;Balance\n" + rows + "Total;;1,00\n" + rows + "Total;;2,00\n"))
+    assert not any(t.op == "skip_rows" for t in spec.transforms) and "row 3001 looks like a subtotal; it is kept" in spec.notes
+    xlsx(str(tmp_path / "long.xlsx"), [["Key", "Menge"], *[[f"k{i}", 1] for i in range(2500)], ["Total", 2500]])
+    assert s.table(str(tmp_path / "long.xlsx")).count() == 2500
