@@ -281,3 +281,13 @@ def test_footer_far_below(spark, tmp_path):
     assert not any(t.op == "skip_rows" for t in spec.transforms) and "row 3001 looks like a subtotal; it is kept" in spec.notes
     xlsx(str(tmp_path / "long.xlsx"), [["Key", "Menge"], *[[f"k{i}", 1] for i in range(2500)], ["Total", 2500]])
     assert s.table(str(tmp_path / "long.xlsx")).count() == 2500
+
+
+def test_frame_by_all_rows(spark, tmp_path):
+    """What comes after the first rows counts too: the delimiter, other widths, and a title longer than a sample."""
+    spec = sniff.infer(put(tmp_path, "late.csv", "".join(f"{i}|b,c\n" for i in range(450)) + "".join(f"{i}|y{i}\n" for i in range(9000))))
+    assert spec.extraction.delimiter == "|"
+    rows = "".join(f"{i};x{i}\n" for i in range(3000)) + "".join(f"{i};x{i};more\n" for i in range(3000, 3100))
+    assert Session(spark, write=False).table(put(tmp_path, "wide.csv", "Key;Name\n" + rows)).count() == 3100
+    path = put(tmp_path, "titled.csv", "a note;\n" * 2100 + "Key;Name\n" + "".join(f"{i};x{i}\n" for i in range(4000)))
+    assert sniff.infer(path).transforms[0].args == {"head": 2100, "tail": 0}
