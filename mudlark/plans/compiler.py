@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from mudlark.functions import values
 from mudlark.operators import transforms
 from mudlark.operators.transforms import Frame, q
+from mudlark.sources import reader
 from mudlark.sources.reader import MessySource, names_of
 from mudlark.spec import ColumnSpec, ParseSpec
 
@@ -53,12 +54,12 @@ def schema_of(spec: ParseSpec) -> T.StructType:
 
 
 def scan(spark: SparkSession, members: list[tuple[str, str, ParseSpec]]) -> DataFrame:
-    """(_member, _row, cells) of files given as path, name and spec: a task a file."""
+    """(_member, _row, cells) of files given as path, name and spec: a task a file, or one a part of a large file that is alone."""
     from mudlark.session import ship
 
     ship(spark)
     spark.dataSource.register(MessySource)
-    told = [[p, n, dataclasses.asdict(s.extraction)] for p, n, s in members]
+    told = [m for p, n, s in members for m in reader.members(p, n, s.extraction, len(members) == 1)]
     return spark.read.format("mudlark_messy").option("members", json.dumps(told)).load()
 
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import json
 import lzma
-from decimal import Decimal
+import os
+import shutil
+import uuid
 
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mudlark import sinks, sqlscan
@@ -23,17 +28,30 @@ BALANCE = "CAST(round(c_acctbal, 2) AS DECIMAL(15,2))"
 CUSTOMER_SQL = f"SELECT c_custkey AS key, c_name AS name, {BALANCE} AS balance, c_mktsegment AS segment FROM customer"
 
 
-def customers(spark, sf_dir) -> list[tuple[int, str, Decimal, str]]:
-    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(15,2)"), "c_mktsegment")
-    return sorted(tuple(r) for r in df.collect())
+def customers(spark, sf_dir):
+    """The table by key, its columns named as in the SQL."""
+    df = read(spark, sf_dir, "customer")
+    return df.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").cast("decimal(15,2)").alias("balance"), F.col("c_mktsegment").alias("segment")).orderBy("key", "name", "balance", "segment")
 
 
-def german(x: Decimal) -> str:
-    return f"{x:,.2f}".translate(str.maketrans(",.", ".,"))
+def german(x: Column) -> Column:
+    return F.translate(F.format_number(x, 2), ",.", ".,")
 
 
-def lines(rows, head: str | None = "Key;Name;Balance;Segment", shown=german) -> str:
-    return "".join(x + "\n" for x in ([head] if head else []) + [f"{k};{n};{shown(b)};{s}" for k, n, b, s in rows])
+def plain(x: Column) -> Column:
+    return x.cast("string")
+
+
+def fields(*columns: Column) -> Column:
+    """A line of fields; null is an empty one, and what would end a field is quoted."""
+    bare = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    return F.concat_ws(";", *[F.when(c.rlike('[;"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in bare])
+
+
+def lines(df, shown=german, more: Column | None = None):
+    """Customers as lines of a file, still in their order."""
+    line = fields(F.col("key"), F.col("name"), shown(F.col("balance")), F.col("segment"))
+    return df.select(line if more is None else F.concat(line, more))
 
 
 def told(df, names=("key", "name", "balance", "segment")):
@@ -48,27 +66,54 @@ def put(spark, name: str, data: str | bytes, encoding: str = "utf-8") -> str:
     return str(path)
 
 
+HEAD = "Key;Name;Balance;Segment\n"
+
+
+def put_lines(spark, name: str, df, head: str = HEAD, tail: str = "", encoding: str = "utf-8", pack=bytes) -> str:
+    """A file of the only column's lines, in the order of their rows. Executors write pieces of it beside it, which are then put together."""
+    path = folder(spark) / name
+
+    def written(batches):
+        piece = f"{path}.{uuid.uuid4().hex}"
+        with open(piece, "wb") as f:
+            for batch in batches:
+                if batch.num_rows:
+                    f.write(pack("".join(x + "\n" for x in batch.column(0).to_pylist()).encode(encoding)))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([piece])], names=["place", "piece"])
+
+    pieces = sorted(tuple(r) for r in df.toDF("line").mapInArrow(written, "place int, piece string").collect())
+    with open(path, "wb") as f:
+        f.write(pack(head.encode(encoding)) if head else b"")
+        for _, piece in pieces:
+            with open(piece, "rb") as g:
+                shutil.copyfileobj(g, f, 1 << 20)
+            os.unlink(piece)
+        f.write(pack(tail.encode(encoding)) if tail else b"")
+    return str(path)
+
+
 @query("f1_sniffed_numbers", CUSTOMER_SQL)
 def sniffed_numbers(spark, sf_dir):
-    return told(Session(spark, write=False).table(put(spark, "c.csv", lines(customers(spark, sf_dir)), "cp1252")))
+    return told(Session(spark, write=False).table(put_lines(spark, "c.csv", lines(customers(spark, sf_dir)), encoding="cp1252")))
 
 
 @query("f4_no_header", CUSTOMER_SQL)
 def no_header(spark, sf_dir):
-    return told(Session(spark, write=False).table(put(spark, "c.csv", lines(customers(spark, sf_dir), None))))
+    return told(Session(spark, write=False).table(put_lines(spark, "c.csv", lines(customers(spark, sf_dir)), "")))
 
 
 @query("f9_footer", f"SELECT count(*) AS n, CAST(sum({BALANCE}) AS DECIMAL(25,2)) AS total FROM customer")
 def footer(spark, sf_dir):
     rows = customers(spark, sf_dir)
-    path = put(spark, "c.csv", lines(rows) + f"Total;;{german(sum(r[2] for r in rows))};\n")
+    total = rows.agg(F.coalesce(german(F.sum("balance")), F.lit(""))).first()[0]
+    path = put_lines(spark, "c.csv", lines(rows), tail=f"Total;;{total};\n")
     df = told(Session(spark, write=False).table(path))
     return df.agg(F.count("*").alias("n"), F.sum("balance").cast("decimal(25,2)").alias("total"))
 
 
 @query("f13_missing_words", f"SELECT c_custkey AS key, c_name AS name, CASE WHEN c_acctbal >= 0 THEN {BALANCE} END AS balance, c_mktsegment AS segment FROM customer")
 def missing_words(spark, sf_dir):
-    return told(Session(spark, write=False).table(put(spark, "c.csv", lines(customers(spark, sf_dir), shown=lambda b: "n/a" if b < 0 else german(b)))))
+    return told(Session(spark, write=False).table(put_lines(spark, "c.csv", lines(customers(spark, sf_dir), lambda b: F.when(b < 0, "n/a").otherwise(german(b))))))
 
 
 LEVELS = ("INFO", "CRITICAL", "warn")
@@ -99,10 +144,9 @@ def sniffed_json(spark, sf_dir):
 
 @query("f15_faults", "SELECT 'balance' AS col, count(*) AS n, (SELECT count(*) FROM customer WHERE c_custkey <= (SELECT min(c_custkey) FROM customer WHERE c_custkey % 10 = 0)) AS row, 'x' || min(c_custkey) AS value, 'not a plain number' AS why FROM customer WHERE c_custkey % 10 = 0")
 def bad_cells(spark, sf_dir):
-    rows = customers(spark, sf_dir)
-    text = "".join(f"{k};{'x' + str(k) if k % 10 == 0 else b}\n" for k, _, b, _ in rows)
+    text = customers(spark, sf_dir).select(fields(F.col("key"), F.when(F.col("key") % 10 == 0, F.concat(F.lit("x"), "key")).otherwise(plain(F.col("balance")))))
     spec = ParseSpec(Extraction(delimiter=";"), HEADED, (ColumnSpec("key", "Key", "int64"), ColumnSpec("balance", "Balance", "decimal", precision=15, scale=2)))
-    found = compiler.faults(compiler.framed(spark, put(spark, "c.csv", "Key;Balance\n" + text), spec), spec)
+    found = compiler.faults(compiler.framed(spark, put_lines(spark, "c.csv", text, "Key;Balance\n"), spec), spec)
     return spark.createDataFrame([(f.column, f.count, f.row, f.value, f.why) for f in found], "col string, n long, row long, value string, why string")
 
 
@@ -120,9 +164,9 @@ def names(spark, sf_dir):
 
 @query("f18_confidence", "SELECT 'plain' AS file, true AS sure UNION ALL SELECT 'prose', false")
 def confidence(spark, sf_dir):
-    plain = put(spark, "c.csv", lines(customers(spark, sf_dir)))
+    table = put_lines(spark, "c.csv", lines(customers(spark, sf_dir)))
     prose = put(spark, "t.txt", "Dear all\nthis is a letter\nand no table\n")
-    return listed(spark, [(n, sniff.infer(p).confidence >= 0.9) for n, p in (("plain", plain), ("prose", prose))], "file string, sure boolean")
+    return listed(spark, [(n, sniff.infer(p).confidence >= 0.9) for n, p in (("plain", table), ("prose", prose))], "file string, sure boolean")
 
 
 @query("e1_conventions", "SELECT * FROM (VALUES (1, '.', ',', false), (2, ',', '.', false), (3, '''', '.', false), (4, ',', NULL, true), (5, NULL, NULL, false)) AS t(place, thousands, decimal, ambiguous)")
@@ -182,21 +226,21 @@ def drafted(spark, sf_dir):
 for suffix, pack in (("zst", lambda b: zstandard.ZstdCompressor().compress(b)), ("xz", lzma.compress)):
 
     def packed(spark, sf_dir, suffix=suffix, pack=pack):
-        return told(Session(spark, write=False).table(put(spark, f"c.csv.{suffix}", pack(lines(customers(spark, sf_dir)).encode()))))
+        return told(Session(spark, write=False).table(put_lines(spark, f"c.csv.{suffix}", lines(customers(spark, sf_dir)), pack=pack)))
 
     query(f"a14_{suffix}", CUSTOMER_SQL)(packed)
 
 
 @query("a15_utf16_be", CUSTOMER_SQL)
 def big_endian(spark, sf_dir):
-    return told(Session(spark, write=False).table(put(spark, "c.csv", "﻿" + lines(customers(spark, sf_dir)), "utf-16-be")))
+    return told(Session(spark, write=False).table(put_lines(spark, "c.csv", lines(customers(spark, sf_dir)), "\ufeff" + HEAD, encoding="utf-16-be")))
 
 
 @query("a3_truncate_extra", CUSTOMER_SQL)
 def truncated(spark, sf_dir):
-    rows = [(k, n, b, s + (";more;yet" if k % 7 == 0 else "")) for k, n, b, s in customers(spark, sf_dir)]
+    rows = lines(customers(spark, sf_dir), plain, F.when(F.col("key") % 7 == 0, ";more;yet").otherwise(""))
     columns = (ColumnSpec("key", "Key", "int64"), ColumnSpec("name", "Name"), ColumnSpec("balance", "Balance", "decimal", precision=15, scale=2), ColumnSpec("segment", "Segment"))
-    return compiler.table(spark, put(spark, "c.csv", lines(rows, shown=str)), ParseSpec(Extraction(delimiter=";", ragged="truncate_extra"), HEADED, columns))
+    return compiler.table(spark, put_lines(spark, "c.csv", rows), ParseSpec(Extraction(delimiter=";", ragged="truncate_extra"), HEADED, columns))
 
 
 @query("a12_json_record", "SELECT 'k' || r_regionkey AS key, r_name AS name FROM region")
@@ -257,7 +301,7 @@ def references(spark, sf_dir):
 
 @query("i6_frozen", CUSTOMER_SQL)
 def frozen(spark, sf_dir):
-    path = put(spark, "c.csv", lines(customers(spark, sf_dir)))
+    path = put_lines(spark, "c.csv", lines(customers(spark, sf_dir)))
     save(path, sniff.sniff(spark, path))
     return told(Session(spark, frozen=True).table(path))
 

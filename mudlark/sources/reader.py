@@ -1,7 +1,8 @@
-"""The messy source: files as rows of text cells with their row numbers, one task a file.
+"""The messy source: files as rows of text cells with their row numbers; a large file is read in parts, a task each.
 
 ``mudlark_messy`` is a Spark data source. Its schema is (_member, _row, cells) for any file, so what a row holds is
-known only to the spec that is compiled above it. Rows are numbered from 1 as they are read.
+known only to the spec that is compiled above it. Rows are numbered from 1 as they are read. Parts start where a read of
+the whole file saw a record start, so quoted fields may span lines in them too.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 import csv
 import io
 import json
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, replace
 from pathlib import Path
 from typing import Any
 
@@ -24,6 +26,8 @@ from mudlark.spec import Extraction
 BATCH_ROWS, BATCH_CELLS = 65_536, 1 << 20
 #: Bytes and number of small files that one task reads one after another.
 TASK_BYTES, TASK_FILES = 8 << 20, 64
+#: Characters of a part of a file, and how many parts a packed file has at most, for its parts are unpacked from the start.
+PART_CHARS, PACKED_PARTS = 4 << 20, 16
 WORKBOOKS = (".xlsx", ".xlsm", ".xls", ".xlsb", ".ods")
 
 
@@ -33,10 +37,9 @@ def inner_suffix(path: str) -> str:
     return (Path(p.stem).suffix if p.suffix in SUFFIXES else p.suffix).lower()
 
 
-def numbered(stream: io.TextIOBase) -> Iterator[str]:
+def numbered(stream: io.TextIOBase, n: int = 0, upto: float = math.inf) -> Iterator[str]:
     """Lines with their ends, at \\n, \\r\\n and \\r. Bytes that can't be decoded stop it, with the line before them."""
-    n = 0
-    while True:
+    while n < upto:
         try:
             line = stream.readline()
         except UnicodeDecodeError as x:
@@ -47,18 +50,83 @@ def numbered(stream: io.TextIOBase) -> Iterator[str]:
         yield line
 
 
-def delimited(e: Extraction, path: str) -> Iterator[list[str]]:
+def state(e: Extraction, path: str) -> tuple:
+    """A file as it is now and what its records depend on."""
+    s = Path(path.removeprefix("file://")).stat()
+    return path, s.st_size, s.st_mtime_ns, repr(replace(e, ragged="error"))
+
+
+#: By :func:`state`: the encoding and the marks (cookie or None, lines, rows before it) of a file that was read whole; names of its JSON objects.
+_MARKS: dict[tuple, tuple[str, list[tuple[int | None, int, int]]]] = {}
+_NAMES: dict[tuple, tuple[list[str], bool]] = {}
+
+
+class Lines:
+    """A file's lines, all or a part's: from (cookie, line, row, last line) on. ``at`` counts them from the file's start.
+
+    Whoever reads records from it says so by :meth:`mark` once a record is whole; a file read whole so leaves its marks.
+    """
+
+    def __init__(self, e: Extraction, path: str, part: tuple | None = None):
+        self.key = None if part else state(e, path)
+        self.text, self.encoding = open_text(path, e.encoding)
+        self.at, self.chars, self.goal = 0, 0, PART_CHARS
+        self.upto = part[3] if part and part[3] is not None else math.inf
+        self.marks: list[tuple[int | None, int, int]] = []
+        if part:
+            if part[0] is None:
+                for _ in numbered(self.text, 0, part[1]):
+                    pass
+            else:
+                self.text.seek(part[0])
+            self.at = part[1]
+
+    def __iter__(self) -> Iterator[str]:
+        for line in numbered(self.text, self.at, self.upto):
+            self.at += 1
+            self.chars += len(line)
+            yield line
+
+    def mark(self, rows: int) -> None:
+        if self.chars >= self.goal:
+            self.marks.append((self.text.tell() if self.text.seekable() else None, self.at, rows))
+            self.goal = self.chars + PART_CHARS
+
+    def done(self) -> None:
+        if self.key:
+            _MARKS[self.key] = (self.encoding, self.marks)
+
+    def more(self) -> bool:
+        """Whether a line that isn't blank follows."""
+        return any(x.strip() for x in numbered(self.text, self.at))
+
+
+def parts(e: Extraction, path: str) -> tuple[str, list[tuple]] | None:
+    """The encoding of a large file and its parts, or None for one that a task reads whole."""
+    if e.format == "excel" or (e.format == "json" and not e.lines) or Path(path.removeprefix("file://")).stat().st_size < PART_CHARS >> 4:
+        return None
+    key = state(e, path)
+    if key not in _MARKS:
+        for _ in rows_of(e, path):
+            pass
+    encoding, marks = _MARKS[key]
+    if marks and marks[0][0] is None:
+        step = -(-(len(marks) + 1) // PACKED_PARTS)
+        marks = marks[step - 1 :: step]
+    starts = [(None, 0, 0), *marks]
+    ends = [*(m[1] for m in marks), None]
+    return (encoding, [(*a, b) for a, b in zip(starts, ends, strict=True)]) if marks else None
+
+
+def delimited(e: Extraction, path: str, part: tuple | None = None) -> Iterator[list[str]]:
     """Records of a delimited file. Lines that a quoted field spans, and blank ones, count in ``region``."""
-    text, _ = open_text(path, e.encoding)
-    at = 0
+    text = Lines(e, path, part)
 
     def lines() -> Iterator[str]:
-        nonlocal at
-        for line in numbered(text):
-            at += 1
-            if e.region is not None and at > e.region[1]:
+        for line in text:
+            if e.region is not None and text.at > e.region[1]:
                 return
-            if e.region is not None and at <= e.region[0]:
+            if e.region is not None and text.at <= e.region[0]:
                 continue
             if e.comment and line.startswith(e.comment):
                 continue
@@ -66,30 +134,43 @@ def delimited(e: Extraction, path: str) -> Iterator[list[str]]:
 
     csv.field_size_limit(1 << 30)
     rows = csv.reader(lines(), delimiter=e.delimiter, quotechar=e.quote, quoting=csv.QUOTE_MINIMAL if e.quote else csv.QUOTE_NONE, escapechar=e.escape, doublequote=e.escape is None or e.escape == e.quote, strict=False)
+    n = 0
     try:
         for row in rows:
             if row and not (len(row) == 1 and row[0] == ""):
+                n += 1
+                if text.chars >= text.goal:
+                    text.mark(n)
                 yield row
     except csv.Error as x:
-        raise SourceError(f"{path}, line {at}: {x}") from x
+        raise SourceError(f"{path}, line {text.at}: {x}") from x
+    text.done()
 
 
-def records(e: Extraction, path: str) -> tuple[list[str], Iterator[list[str | None]]]:
-    """Columns and rows of a JSON file. Absent and null are both nothing; objects add columns as they come."""
-    if e.lines:
+def objects(e: Extraction, path: str) -> tuple[list[str], bool]:
+    """The columns of a file of JSON lines, from all of them, and whether they hold bare values; kept by the file's state."""
+    key = state(e, path)
+    if key not in _NAMES:
         names: dict[str, None] = {}
         scalars = False
-        for _, value in json_lines(path, e.encoding):
+        for _, value in json_lines(e, path):
             found = jsondoc.resolve(value, e.pointer) if e.pointer else value
-            if isinstance(found, dict):
-                names.update(dict.fromkeys(sorted(k for k in found if k not in names)))
-            else:
+            if not isinstance(found, dict):
                 scalars = True
+            elif not found.keys() <= names.keys():
+                names.update(dict.fromkeys(sorted(k for k in found if k not in names)))
         if scalars and names:
             raise SourceError(f"{path}: objects and other values are mixed")
-        if scalars:
-            return ["value"], ([jsondoc.cell(jsondoc.resolve(v, e.pointer) if e.pointer else v)] for _, v in json_lines(path, e.encoding))
-        return list(names), ([jsondoc.cell(found.get(n)) for n in names] for _, v in json_lines(path, e.encoding) for found in [jsondoc.resolve(v, e.pointer) if e.pointer else v])
+        _NAMES[key] = (["value"] if scalars else list(names), scalars)
+    return _NAMES[key]
+
+
+def records(e: Extraction, path: str, part: tuple | None = None, known: tuple[list[str], bool] | None = None) -> tuple[list[str], Iterator[list[str | None]]]:
+    """Columns and rows of a JSON file. Absent and null are both nothing; objects add columns as they come."""
+    if e.lines:
+        names, scalars = known or objects(e, path)
+        found = (jsondoc.resolve(v, e.pointer) if e.pointer else v for _, v in json_lines(e, path, part))
+        return list(names), ([jsondoc.cell(v)] for v in found) if scalars else ([jsondoc.cell(v.get(n)) for n in names] for v in found)
     text, _ = open_text(path, e.encoding)
     value = jsondoc.resolve(jsondoc.parse(text.read()), e.pointer)
     if e.record:
@@ -108,26 +189,37 @@ def records(e: Extraction, path: str) -> tuple[list[str], Iterator[list[str | No
     return ["value"], ([jsondoc.cell(x)] for x in value)
 
 
-def json_lines(path: str, encoding: str | None) -> Iterator[tuple[int, Any]]:
-    text, _ = open_text(path, encoding)
+def json_lines(e: Extraction, path: str, part: tuple | None = None) -> Iterator[tuple[int, Any]]:
+    text = Lines(e, path, part)
     held: tuple[int, Exception] | None = None
-    for k, line in enumerate(numbered(text), 1):
+    n = 0
+    for line in text:
         if not line.strip():
             continue
         if held:
-            raise SourceError(f"{path}, line {held[0]}: {held[1]}")
+            break
         try:
-            yield k, jsondoc.parse(line)
+            value = jsondoc.parse(line)
         except jsondoc.JsonError as x:
-            held = (k, x)
+            held = (text.at, x)
+            continue
+        n += 1
+        text.mark(n)
+        yield text.at, value
+    else:
+        text.done()
+    if held and (text.at > held[0] and line.strip() or text.more()):
+        raise SourceError(f"{path}, line {held[0]}: {held[1]}")
     if held:
         raise SourceError(f"{path}: the last line, {held[0]}, is cut short or broken: {held[1]}")
 
 
-def text_lines(e: Extraction, path: str) -> Iterator[list[str]]:
-    text, _ = open_text(path, e.encoding)
-    for line in numbered(text):
+def text_lines(e: Extraction, path: str, part: tuple | None = None) -> Iterator[list[str]]:
+    text = Lines(e, path, part)
+    for line in text:
+        text.mark(text.at)
         yield [line.rstrip("\r\n")]
+    text.done()
 
 
 def sheet_rows(e: Extraction, path: str) -> list[list[str]]:
@@ -136,16 +228,16 @@ def sheet_rows(e: Extraction, path: str) -> list[list[str]]:
         return workbook.clip(book.rows(workbook.sheet_index(book, e.sheet)), e.range)
 
 
-def rows_of(e: Extraction, path: str) -> Iterator[list[str | None]]:
-    """All rows of a file; JSON rows follow the order of :func:`names_of`."""
+def rows_of(e: Extraction, path: str, part: tuple | None = None, known: tuple[list[str], bool] | None = None) -> Iterator[list[str | None]]:
+    """All rows of a file or of a part of it; JSON rows follow the order of :func:`names_of`."""
     if e.format == "delimited":
-        return delimited(e, path)
+        return delimited(e, path, part)
     if e.format == "excel":
         rows = sheet_rows(e, path)
         return iter(rows[e.region[0] : e.region[1]] if e.region else rows)
     if e.format == "json":
-        return records(e, path)[1]
-    return text_lines(e, path)
+        return records(e, path, part, known)[1]
+    return text_lines(e, path, part)
 
 
 def names_of(e: Extraction, path: str) -> list[str] | None:
@@ -158,6 +250,16 @@ class Member(InputPartition):
     path: str
     name: str
     extraction: dict
+    part: list | None = None
+    known: list | None = None
+
+
+def members(path: str, name: str, e: Extraction, split: bool = True) -> list[list]:
+    """A file as what :class:`Member` takes: once, or once a part if it is large and ``split``."""
+    found = parts(e, path) if split else None
+    known = objects(e, path) if found and e.format == "json" else None
+    told = asdict(replace(e, encoding=found[0]) if found else e)
+    return [[path, name, told, p, known] for p in (found[1] if found else [None])]
 
 
 @dataclass
@@ -170,11 +272,11 @@ class MessyReader(DataSourceReader):
         self.members = members
 
     def partitions(self) -> list[Members]:
-        """Small files share a task; a file is never split."""
+        """Small files share a task; a part of a large one has its own."""
         out: list[Members] = []
         room = 0
         for m in self.members:
-            size = Path(m.path.removeprefix("file://")).stat().st_size
+            size = TASK_BYTES if m.part else Path(m.path.removeprefix("file://")).stat().st_size
             if not out or size > room or len(out[-1].members) >= TASK_FILES:
                 out.append(Members([]))
                 room = TASK_BYTES
@@ -189,13 +291,13 @@ class MessyReader(DataSourceReader):
     def rows(self, member: Member) -> Iterator[pa.RecordBatch]:
         e = Extraction(**{k: tuple(map(tuple, v)) if k == "fields" else tuple(v) if k == "region" and v else v for k, v in member.extraction.items()})
         rows: list[list[str | None]] = []
-        first, cells = 1, 0
+        first, cells = member.part[2] + 1 if member.part else 1, 0
 
         def pack() -> pa.RecordBatch:
             n = len(rows)
             return pa.RecordBatch.from_arrays([pa.array([member.name] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["_member", "_row", "cells"])
 
-        for row in rows_of(e, member.path):
+        for row in rows_of(e, member.path, member.part, member.known):
             rows.append(row)
             cells += len(row)
             if len(rows) >= BATCH_ROWS or cells >= BATCH_CELLS:
@@ -206,7 +308,7 @@ class MessyReader(DataSourceReader):
 
 
 class MessySource(DataSource):
-    """Option ``members``: JSON of [path, name, extraction], one a file. A file's rows come in order from one task."""
+    """Option ``members``: JSON of [path, name, extraction, part, columns], one a file or part of one, of which part and columns may be left out. A part's rows come in order."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,5 +1,6 @@
 import gzip
 import json
+import lzma
 import re
 import zipfile
 from decimal import Decimal
@@ -11,7 +12,7 @@ from mudlark import sinks, sqlscan
 from mudlark.operators.regions import regions_of
 from mudlark.plans import compiler, draft, fit, pile, sniff, target
 from mudlark.session import Session, StaleError, fresh, load, save
-from mudlark.sources import jsondoc
+from mudlark.sources import jsondoc, reader
 from mudlark.sources.bytes import SourceError, compression, detect
 from mudlark.spec import Extraction, ParseSpec, SpecError, Transform, dumps, from_dict, json_schema, loads
 
@@ -291,3 +292,21 @@ def test_frame_by_all_rows(spark, tmp_path):
     assert Session(spark, write=False).table(put(tmp_path, "wide.csv", "Key;Name\n" + rows)).count() == 3100
     path = put(tmp_path, "titled.csv", "a note;\n" * 2100 + "Key;Name\n" + "".join(f"{i};x{i}\n" for i in range(4000)))
     assert sniff.infer(path).transforms[0].args == {"head": 2100, "tail": 0}
+
+
+@pytest.mark.parametrize("pack", [bytes, zstandard.compress, lzma.compress])
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "cp1252"])
+def test_parts(tmp_path, monkeypatch, pack, encoding):
+    """A large file's parts hold its rows, each once and numbered as in the whole, also where quoted fields span lines."""
+    monkeypatch.setattr(reader, "PART_CHARS", 1600)
+    text = "".join(f'{i};"ü {i}\n;""{i}"""\n' + ("\r\n" if i % 7 == 0 else "") + ("# no\n" if i % 5 == 0 else "") for i in range(1000))
+    path = put(tmp_path, "p.csv", pack(text.encode(encoding)))
+    e = Extraction(delimiter=";", comment="#", encoding=None if encoding.startswith("utf") else encoding)
+    whole = list(reader.delimited(e, path))
+    told = reader.members(path, "p", e)
+    assert len(whole) == 1000 and 8 <= len(told) and (pack is bytes or len(told) <= reader.PACKED_PARTS)
+    got = [b for m in json.loads(json.dumps(told)) for b in reader.MessyReader([]).rows(reader.Member(*m))]
+    assert [r for b in got for r in b["cells"].to_pylist()] == whole and [n for b in got for n in b["_row"].to_pylist()] == list(range(1, 1001))
+    assert len(reader.MessyReader([reader.Member(*m) for m in told]).partitions()) == len(told)
+    lines = Extraction(format="lines", pattern="(?P<a>.*)", encoding=e.encoding)
+    assert sum(b.num_rows for m in reader.members(path, "p", lines) for b in reader.MessyReader([]).rows(reader.Member(*m))) == sum(1 for _ in reader.text_lines(lines, path))
