@@ -136,9 +136,10 @@ def sniffed_widths(spark, sf_dir):
 
 @query("f8_sniffed_json", "SELECT p_partkey AS key, p_name AS name, CASE WHEN p_size > 10 THEN CAST(p_size AS BIGINT) END AS size FROM part")
 def sniffed_json(spark, sf_dir):
-    rows = sorted(tuple(r) for r in read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").collect())
-    text = "".join(json.dumps({"key": k, "name": n} | ({"size": s} if s > 10 else {})) + "\n" for k, n, s in rows)
-    df = Session(spark, write=False).table(put(spark, "p.ndjson", text))
+    size = F.when(F.col("p_size") > 10, F.col("p_size")).alias("size")
+    rows = read(spark, sf_dir, "part").orderBy("p_partkey", "p_name", "p_size")
+    text = rows.select(F.to_json(F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), size), {"ignoreNullFields": "true"}))
+    df = Session(spark, write=False).table(put_lines(spark, "p.ndjson", text, ""))
     return df.select(F.col("key").cast("bigint"), "name", F.col("size").cast("bigint"))
 
 

@@ -310,3 +310,19 @@ def test_parts(tmp_path, monkeypatch, pack, encoding):
     assert len(reader.MessyReader([reader.Member(*m) for m in told]).partitions()) == len(told)
     lines = Extraction(format="lines", pattern="(?P<a>.*)", encoding=e.encoding)
     assert sum(b.num_rows for m in reader.members(path, "p", lines) for b in reader.MessyReader([]).rows(reader.Member(*m))) == sum(1 for _ in reader.text_lines(lines, path))
+
+
+def test_parts_of_json(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reader, "PART_CHARS", 4000)
+    objects = [{"id": i} | ({f"k{i}": "ü", "a": i} if i in (700, 1500) else {}) for i in range(2000)]
+    text = "".join(json.dumps(o) + "\n" + "\n" * (i % 3) for i, o in enumerate(objects))
+    path, e = put(tmp_path, "p.ndjson", text), Extraction(format="json", lines=True)
+    told = reader.members(path, "p", e)
+    names = ["id", "a", "k700", "k1500"]
+    got = [b for m in json.loads(json.dumps(told)) for b in reader.MessyReader([]).rows(reader.Member(*m))]
+    assert len(told) > 3 and [r for b in got for r in b["cells"].to_pylist()] == [[None if o.get(n) is None else str(o[n]) for n in names] for o in objects]
+    df = Session(spark, write=False).table(path)
+    assert df.count() == 2000 and df.filter("a IS NOT NULL").count() == 2
+    for more, said in (('{"id":', "the last line, "), ('{"id":\n{"id":1}\n', "line \\d+: ")):
+        with pytest.raises(SourceError, match=said):
+            reader.members(put(tmp_path, "cut.ndjson", text + more), "p", e)
