@@ -150,16 +150,25 @@ def parsed(application: str, c: ColumnSpec) -> tuple[Column, Column]:
     return values.parse(q(c.origin), c)
 
 
+def any_text(c: ColumnSpec) -> bool:
+    """Whether any cell will do for a column: text as it is, or missing."""
+    return c.dtype == "utf8" and c.nullable and not c.pointer
+
+
 def faults(frame: Frame, spec: ParseSpec) -> list[Fault]:
     """What doesn't parse, column by column: one aggregation over the whole file, map-side first.
 
     Rows are named by their place in the table, so the rows up to each first fault are counted, where there is one.
     """
-    columns = checked(frame, spec)
-    if not columns:
+    both = list(zip(checked(frame, spec), spec.columns, strict=True))
+    if not both:
         return []
-    worst = [F.struct(F.count_if(p.isNotNull()).alias("n"), F.min(F.when(p.isNotNull(), F.struct("_row", raw.alias("raw"), p.alias("why")))).alias("first")).alias(f"f{i}") for i, (_, raw, _, p) in enumerate(columns)]
-    got = frame.df.agg(*worst).first()
+    columns = [c for c, s in both if not any_text(s)]
+    texts = [c[1] for c, s in both if any_text(s)]  # they are read all the same, for a transform may stop at them
+    # Problems are columns of their own below the aggregation, so each is found once a row.
+    told = frame.df.select("_row", *[x for i, (_, raw, _, p) in enumerate(columns) for x in (raw.alias(f"r{i}"), p.alias(f"p{i}"))], *[raw.alias(f"t{i}") for i, raw in enumerate(texts)])
+    worst = [F.struct(F.count_if(F.col(f"p{i}").isNotNull()).alias("n"), F.min(F.when(F.col(f"p{i}").isNotNull(), F.struct("_row", F.col(f"r{i}").alias("raw"), F.col(f"p{i}").alias("why")))).alias("first")).alias(f"f{i}") for i in range(len(columns))]
+    got = told.agg(*worst, *[F.count(f"t{i}").alias(f"t{i}") for i in range(len(texts))]).first()
     wrong = [i for i in range(len(columns)) if got[i]["n"]]
     if not wrong:
         return []

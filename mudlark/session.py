@@ -109,28 +109,33 @@ class Session:
         self.notes: list[str] = []
 
     def spec(self, path: str, hint: str | None = None) -> ParseSpec:
+        return self.found(path, hint)[0]
+
+    def found(self, path: str, hint: str | None = None):
+        """A file's spec, and its frame if the spec was just inferred and proven on it."""
         from mudlark.plans import sniff
 
         if hint is None and sidecar_path(path).exists():
             if fresh(path):
-                return load(path)[0]
+                return load(path)[0], None
             if self.frozen:
                 raise StaleError(f"{path} changed since its sidecar was written")
         if self.frozen:
             raise StaleError(f"{path} has no sidecar")
-        found = sniff.sniff(self.spark, path, hint)
+        found, frame = sniff.proven(self.spark, path, hint)
         self.notes += [f"{path}: {n}" for n in found.notes]
         if found.confidence < 0.8:
             self.notes.append(f"{path}: read with confidence {found.confidence:.2f}")
         if self.write and hint is None:
             save(path, found)
-        return found
+        return found, frame
 
     def table(self, path: str, hint: str | None = None) -> DataFrame:
         from mudlark.plans import compiler
 
         path = inside(path, self.root)
-        return compiler.table(self.spark, path, self.spec(path, hint))
+        spec, frame = self.found(path, hint)
+        return compiler.table(self.spark, path, spec) if frame is None else compiler.typed(frame, spec.validate())
 
     def dataset(self, target: str) -> DataFrame:
         from mudlark.plans import pile
